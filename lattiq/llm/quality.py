@@ -92,7 +92,7 @@ def _squash(r: np.ndarray) -> np.ndarray:
 
 
 def fit_arrays(x: np.ndarray, y: np.ndarray, shrink: float = 0.15, ridge: float = 0.05) -> QualityModel:
-    x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, int)
+    x, y = np.asarray(x, float), np.asarray(y, int)
     if len(set(y.tolist())) < 2:
         return QualityModel(constant=float(y.mean()) if len(y) else 0.5)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
