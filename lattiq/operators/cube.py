@@ -43,9 +43,13 @@ def rectangle(x0: float, x1: float, y0: float, y1: float) -> Mask:
 
 def weights(values: list[list[float]]) -> Mask:
     """Arbitrary weights of a small detector, a row for each qx."""
-    flat = F.array(*[F.lit(float(v)) for row in values for v in row])
     n = len(values[0])
-    return lambda qx, qy: F.element_at(flat, (qx * n + qy + 1).cast("int"))
+
+    def weight(qx, qy):
+        flat = F.array(*[F.lit(float(v)) for row in values for v in row])
+        return F.element_at(flat, (qx * n + qy + 1).cast("int"))
+
+    return weight
 
 
 def sector(x: float, y: float, r: float, start: float, stop: float) -> Mask:

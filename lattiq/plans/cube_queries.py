@@ -11,7 +11,10 @@ META = CubeMeta()
 WEIGHTS = [[float((x * 3 + y * 5) % 7) / 2 for y in range(8)] for x in range(8)]
 BAD = [(1, 1), (4, 6), (7, 0)]
 R2 = "((qx - 3.5::double) * (qx - 3.5::double) + (qy - 3.5::double) * (qy - 3.5::double))"
-DX, DY = (F.col("rx") % 5 - 2), (F.col("ry") % 3 - 1)
+
+
+def _shift():
+    return F.col("rx") % 5 - 2, F.col("ry") % 3 - 1
 
 
 def _vi(mask):
@@ -23,7 +26,8 @@ def _vi_sql(term: str) -> str:
 
 
 def _vd(**options):
-    return lambda s, d: C.virtual_diffraction(frames(s, d), **options).select("qx", "qy", rounded("value").alias("value"))
+    """Options that are functions are called when the query is, which is when a session exists."""
+    return lambda s, d: C.virtual_diffraction(frames(s, d), **{k: v() if callable(v) else v for k, v in options.items()}).select("qx", "qy", rounded("value").alias("value"))
 
 
 def _vd_sql(expr: str, where: str = "true") -> str:
@@ -36,7 +40,12 @@ def _pixels(f):
 
 
 W_SQL = "(1.0::double + rx % 3 + 0.5::double * (ry % 4))"
-WEIGHT = F.lit(1.0) + F.col("rx") % 3 + 0.5 * (F.col("ry") % 4)
+
+
+def _weight():
+    return F.lit(1.0) + F.col("rx") % 3 + 0.5 * (F.col("ry") % 4)
+
+
 MASK_SQL = "(((qx * 3 + qy * 5) % 7)::double / 2)"
 LX = "floor(((rx % 4) - 1.3::double) * 0.7)"
 
@@ -65,7 +74,7 @@ QUERIES = {
         _vi_sql(f"case when {R2} <= 16 and (atan2(qx - 3.5::double, qy - 3.5::double) - 0.1::double + 2 * pi()) % (2 * pi()) <= 1.3::double then i else 0 end"),
     ),
     "vi_shift_int": (
-        lambda s, d: C.virtual_image_shifted(frames(s, d), C.circle(3.5, 3.5, 2), DX, DY).select("rx", "ry", rounded("value").alias("value")),
+        lambda s, d: C.virtual_image_shifted(frames(s, d), C.circle(3.5, 3.5, 2), *_shift()).select("rx", "ry", rounded("value").alias("value")),
         _vi_sql("case when ((qx - (rx % 5 - 2) + 8) % 8 - 3.5::double) ** 2 + ((qy - (ry % 3 - 1) + 8) % 8 - 3.5::double) ** 2 < 4 then i else 0 end"),
     ),
     "vi_shift_bilinear": (
@@ -81,16 +90,16 @@ select rx, ry, round(sum(v), 6) as value from c group by rx, ry""",
     "vd_mean": (_vd(), _vd_sql("avg(i)")),
     "vd_max": (_vd(method="max"), _vd_sql("max(i)")),
     "vd_median": (_vd(method="median"), _vd_sql("median(i)")),
-    "vd_masked_mean": (_vd(where=(F.col("rx") >= 2) & (F.col("ry") % 2 == 0)), _vd_sql("avg(i)", "rx >= 2 and ry % 2 = 0")),
-    "vd_weighted_mean": (_vd(weight=WEIGHT), _vd_sql(f"sum(i * {W_SQL}) / sum({W_SQL})")),
-    "vd_weighted_max": (_vd(method="max", weight=WEIGHT), _vd_sql(f"max(i * {W_SQL})")),
-    "vd_weighted_median": (_vd(method="median", weight=WEIGHT), _vd_sql(f"median(i * {W_SQL})")),
+    "vd_masked_mean": (_vd(where=lambda: (F.col("rx") >= 2) & (F.col("ry") % 2 == 0)), _vd_sql("avg(i)", "rx >= 2 and ry % 2 = 0")),
+    "vd_weighted_mean": (_vd(weight=_weight), _vd_sql(f"sum(i * {W_SQL}) / sum({W_SQL})")),
+    "vd_weighted_max": (_vd(method="max", weight=_weight), _vd_sql(f"max(i * {W_SQL})")),
+    "vd_weighted_median": (_vd(method="median", weight=_weight), _vd_sql(f"median(i * {W_SQL})")),
     "vd_shift_mean": (
-        lambda s, d: C.virtual_diffraction_shifted(frames(s, d), DX, DY).select("qx", "qy", rounded("value").alias("value")),
+        lambda s, d: C.virtual_diffraction_shifted(frames(s, d), *_shift()).select("qx", "qy", rounded("value").alias("value")),
         f"with {PIXELS_SQL}, s as (select (qx + rx % 5 - 2 + 8) % 8 as qx, (qy + ry % 3 - 1 + 8) % 8 as qy, i from p) select qx, qy, round(avg(i), 6) as value from s group by qx, qy",
     ),
     "vd_shift_max": (
-        lambda s, d: C.virtual_diffraction_shifted(frames(s, d), DX, DY, "max").select("qx", "qy", rounded("value").alias("value")),
+        lambda s, d: C.virtual_diffraction_shifted(frames(s, d), *_shift(), "max").select("qx", "qy", rounded("value").alias("value")),
         f"with {PIXELS_SQL}, s as (select (qx + rx % 5 - 2 + 8) % 8 as qx, (qy + ry % 3 - 1 + 8) % 8 as qy, i from p) select qx, qy, round(greatest(max(i), 0), 6) as value from s group by qx, qy",
     ),
     "local_avg_dp": (

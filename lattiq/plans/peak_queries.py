@@ -16,7 +16,6 @@ from lattiq.operators import strain as S
 CENTER = (26.0, 27.0)
 G1, G2 = (7.0, 0.6), (-0.4, 6.5)
 CAL = Calibration(q_pixel_size=0.02, q_pixel_units="A^-1", a=1.1, b=1.0, theta=0.4, qr_rotation=0.3, qr_flip=True)
-ORIGIN = (32 + 0.1 * F.col("rx") - 0.05 * F.col("ry"), 30 - 0.02 * F.col("rx") + 0.03 * F.col("ry"))
 XX, XY, YY = CAL.ellipse_matrix()
 COS, SIN = math.cos(0.3), math.sin(0.3)
 KEYS = ("rx", "ry")
@@ -29,30 +28,35 @@ m as (select rx, ry, x * 0.02::double as x, y * 0.02::double as y, intensity fro
 f as (select rx, ry, {COS!r}::double * y - {SIN!r}::double * x as qx, {SIN!r}::double * y + {COS!r}::double * x as qy, intensity from m)"""
 
 
+def _scan_origin():
+    return 32 + 0.1 * F.col("rx") - 0.05 * F.col("ry"), 30 - 0.02 * F.col("rx") + 0.03 * F.col("ry")
+
+
 def _peak_rows(df):
     return df.select("rx", "ry", rounded("qx").alias("qx"), rounded("qy").alias("qy"), rounded("intensity").alias("intensity"))
 
 
 def _cal(**steps):
-    return lambda s, d: _peak_rows(P.calibrated(peaks(s, d), CAL, ORIGIN, **{k: steps.get(k, False) for k in ("center", "ellipse", "pixel", "rotate")}))
+    return lambda s, d: _peak_rows(P.calibrated(peaks(s, d), CAL, _scan_origin(), **{k: steps.get(k, False) for k in ("center", "ellipse", "pixel", "rotate")}))
 
 
 PEAK_OUT = "select rx, ry, round({x}, 6) + 0 as qx, round({y}, 6) + 0 as qy, round(intensity, 6) as intensity from {t}"
 ROWS = "select rx, ry, round(qx, 6) as qx, round(qy, 6) as qy, round(intensity, 6) as intensity from"
 
 
-def _hist(df):
-    return df.select("qx", "qy", rounded("value", 4).alias("value"))
+def _hist(df, digits=4):
+    """Raw values are sums of decimals of 8 or 9 digits, which a rounding to so many keeps apart from ties."""
+    return df.select("qx", "qy", rounded("value", digits).alias("value"))
 
 
-def _hist_sql(ctes: str, source: str, x: str, y: str, n: int) -> str:
+def _hist_sql(ctes: str, source: str, x: str, y: str, n: int, digits: int = 4) -> str:
     return f"""with {ctes},
 h as (select {x} as x, {y} as y, intensity as i from {source}),
 u as (select x - floor(x) as dx, y - floor(y) as dy, floor(x)::bigint as x, floor(y)::bigint as y, i from h where floor(x) >= 0 and floor(y) >= 0 and ceil(x) < {n} and ceil(y) < {n}),
 v as (select x as qx, y as qy, i * (1 - dx) * (1 - dy) as w from u union all select x, y + 1, i * (1 - dx) * dy from u
       union all select x + 1, y, i * dx * (1 - dy) from u union all select x + 1, y + 1, i * dx * dy from u),
 w as (select qx, qy, sum(w) as value from v group by qx, qy), g as (select x as qx, y as qy from range({n}) as x(x), range({n}) as y(y))
-select g.qx, g.qy, round(coalesce(value, 0), 4) as value from g left join w on g.qx = w.qx and g.qy = w.qy"""
+select g.qx, g.qy, round(coalesce(value, 0), {digits}) as value from g left join w on g.qx = w.qx and g.qy = w.qy"""
 
 
 def _origin(how):
@@ -215,14 +219,14 @@ QUERIES = {
     "cal_pixel": (_cal(pixel=True), f"with {PEAKS_SQL} " + PEAK_OUT.format(x="qx * 0.02::double", y="qy * 0.02::double", t="b")),
     "cal_rotate_flip": (_cal(rotate=True), f"with {PEAKS_SQL} " + PEAK_OUT.format(x=f"{COS!r}::double * qy - {SIN!r}::double * qx", y=f"{SIN!r}::double * qy + {COS!r}::double * qx", t="b")),
     "cal_full": (_cal(center=True, ellipse=True, pixel=True, rotate=True), f"with {CAL_SQL} " + PEAK_OUT.format(x="qx", y="qy", t="f")),
-    "bvm_raw": (lambda s, d: _hist(P.histogram(peaks(s, d), 64, 64)), _hist_sql(PEAKS_SQL, "b", "qx", "qy", 64)),
+    "bvm_raw": (lambda s, d: _hist(P.histogram(peaks(s, d), 64, 64), 8), _hist_sql(PEAKS_SQL, "b", "qx", "qy", 64, 8)),
     "bvm_cal": (
-        lambda s, d: _hist(P.histogram(P.calibrated(peaks(s, d), CAL, ORIGIN), 128, 128, 2.0, (32.0, 31.0), 0.02)),
+        lambda s, d: _hist(P.histogram(P.calibrated(peaks(s, d), CAL, _scan_origin()), 128, 128, 2.0, (32.0, 31.0), 0.02)),
         _hist_sql(CAL_SQL, "f", "(qx / 0.02::double + 32) * 2", "(qy / 0.02::double + 31) * 2", 128),
     ),
     "bvm_weighted": (
-        lambda s, d: _hist(P.histogram(P.weighted(peaks(s, d), peaks(s, d).select(*KEYS).distinct().withColumn("w", (F.col("rx") % 3) / 2.0), 0.2), 64, 64)),
-        _hist_sql(PEAKS_SQL + f", y as (select qx, qy, intensity * {W_SQL} as intensity from b where {W_SQL} > 0.2)", "y", "qx", "qy", 64),
+        lambda s, d: _hist(P.histogram(P.weighted(peaks(s, d), peaks(s, d).select(*KEYS).distinct().withColumn("w", (F.col("rx") % 3) / 2.0), 0.2), 64, 64), 9),
+        _hist_sql(PEAKS_SQL + f", y as (select qx, qy, intensity * {W_SQL} as intensity from b where {W_SQL} > 0.2)", "y", "qx", "qy", 64, 9),
     ),
     "bragg_vi_circle": (lambda s, d: P.peak_image(peaks(s, d), CENTER, 0.0, 9.0).select("rx", "ry", rounded("value", 6).alias("value")), f"with {PEAKS_SQL} select rx, ry, round(value, 6) as value from " + HAT.format(c="(qx - 26) ** 2 + (qy - 27) ** 2 < 81")),
     "bragg_vi_annulus": (
