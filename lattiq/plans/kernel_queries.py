@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lattiq.functions import kernels as K
-from lattiq.model import CubeMeta, frames, peaks
+from lattiq.model import CubeMeta, frames, peaks, pixels
 from lattiq.operators import classify as L
 from lattiq.operators import crystal as X
 from lattiq.operators import cube as C
@@ -16,6 +16,9 @@ from lattiq.operators import flowlines as O
 from lattiq.operators import orientation as A
 from lattiq.operators import peaks as P
 from lattiq.operators import phase as H
+from lattiq.operators import polar as R
+from lattiq.operators import ptychography as Y
+from lattiq.operators import rings as G
 from lattiq.plans.polar_queries import ATOMS, CELL, COEFFICIENTS
 
 MID = (3.5, 3.5)
@@ -127,7 +130,60 @@ def _flowlines(s, d):
     return s.createDataFrame([(n, k, *map(float, p)) for n, line in enumerate(lines) for k, p in enumerate(line)], "line long, point long, x double, y double, theta double")
 
 
+RING_START = dict(zip(G.RING, (0.05, 0.1, 2.0, 0.05, 1.0, 1.0, 3.5, 3.5, 2.5, 0.0, 1.0)))
+SPEC = R.PolarSpec(0.0, 5.0, 1.0, 12)
+
+
+def _ellipse(s, d):
+    e = G.fit_ellipse(C.virtual_diffraction(frames(s, d)), MID, 1.0, 4.0)
+    return s.createDataFrame([tuple(e.values())], ", ".join(f"{k} double" for k in e))
+
+
+def _polar_peaks(s, d):
+    return G.polar_peaks(R.polar_data(pixels(frames(s, d)), MID, SPEC), 12, least=0.01, most=4)
+
+
+def _pdf(s, d):
+    rows = R.radial_statistics(R.polar_data(pixels(frames(s, d)), MID, SPEC)).orderBy("r").toPandas()
+    radii = np.linspace(0.5, 8, 40)
+    _, g = G.pair_distribution(rows.r.to_numpy() * 0.1 + 0.05, rows["mean"].to_numpy(), radii, 0.05)
+    return s.createDataFrame([(float(a), float(b)) for a, b in zip(radii, g)], "radius double, pdf double")
+
+
+def _patterns(s, d):
+    return frames(s, d).select((F.col("rx") * 2.0).alias("x"), (F.col("ry") * 2.0).alias("y"), F.transform("data", F.sqrt).alias("amplitude"))
+
+
+def _object_shape(s, d):
+    nx, ny = _scan(s, d)
+    return 2 * nx + 8, 2 * ny + 8
+
+
+def _errors(s, errors):
+    return s.createDataFrame([(k, e) for k, e in enumerate(errors)], "iteration long, error double")
+
+
+def _multislice(s, d):
+    _, _, errors = Y.multislice(_patterns(s, d), 2, _object_shape(s, d), _template().astype(complex), H.fresnel((8, 8), 1.0, 0.02, 5.0), 2)
+    return _errors(s, errors)
+
+
+def _mixed(s, d):
+    modes = np.stack([_template(), 0.3 * np.roll(_template(), 1, 0)]).astype(complex)
+    _, _, errors = Y.mixed_state(_patterns(s, d), _object_shape(s, d), modes, 2)
+    return _errors(s, errors)
+
+
 QUERIES = {
+    "ellipse_fit": (_ellipse, None),
+    "ring_fit": (lambda s, d: G.fit_rings(frames(s, d), RING_START, steps=6), None),
+    "ring_strain": (lambda s, d: G.ring_strain(G.fit_rings(frames(s, d), RING_START, steps=6)), None),
+    "polar_peaks": (_polar_peaks, None),
+    "pair_distribution": (_pdf, None),
+    "aligned_probe": (lambda s, d: s.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(T.vacuum_probe(G.aligned_mean(frames(s, d))))], "qx long, qy long, value double"), None),
+    "integrated_disks": (lambda s, d: G.integrate_disks(frames(s, d), T.find_disks(frames(s, d), _template(), most=4), 1.5), None),
+    "ptycho_multislice": (_multislice, None),
+    "ptycho_mixed": (_mixed, None),
     "disk_detect": (lambda s, d: T.find_disks(frames(s, d), _template(), subpixel="poly", spacing=2, edge=1, most=10), None),
     "disk_detect_multicorr": (lambda s, d: T.find_disks(frames(s, d), _template(), power=0.8, subpixel="multicorr", factor=8, edge=1, most=4), None),
     "disk_detect_filtered": (lambda s, d: T.find_disks(frames(s, d), None, filter_function=K.ewpc, most=5), None),
