@@ -135,7 +135,7 @@ c as (
   from s),
 l as (select *, (total - before)::double / open as level from c),
 m as (select max(level) as level from l where cap >= weight * level),
-t as (select l.source, l.source_size, least(l.cap::double, l.weight * m.level) as target from l, m),
+t as (select l.source, l.source_size, l.weight, least(l.cap::double, l.weight * m.level) as target from l, m),
 o as (
   select d.doc_id, d.size, t.source_size, t.target,
          coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id rows between unbounded preceding and 1 preceding), 0) as ahead,
