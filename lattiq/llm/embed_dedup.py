@@ -214,3 +214,22 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     """The contract's rows: vec_id, n_links, component_id, kept."""
     out = link_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings),
+u as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and e is not null and len(e) > 0
+    and list_bool_and([x is not null and isfinite(x) for x in e]) and list_bool_or([x <> 0 for x in e])),
+l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(id, reached) as (
+  select vec_id, vec_id from v union select l.b, r.reached from r join l on l.a = r.id),
+c as (select id, min(reached) as component_id from r group by id),
+n as (select a, count(*) as n from l group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept
+from v join c on c.id = v.vec_id left join n on n.a = v.vec_id
+"""

@@ -43,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op7_mixing": mixing.ORACLE, "op9_embedding_dedup": embed_dedup.ORACLE}
