@@ -3,7 +3,10 @@
 Texts are encoded with the tokenizers library.  The vocabulary's pre-tokenizer
 never joins characters across ASCII white space, so the library encodes each
 distinct white-space word once and the ids are laid out with numpy; the ids are
-those of encoding the whole text.
+those of encoding the whole text.  Where a text has Latin letters and printable
+ASCII only, for which lower case and character classes are the same in every
+library, it is lower-cased and cut at the pre-tokenizer's own pattern (read from
+the vocabulary file) first, which leaves far fewer distinct words.
 
 A shard file holds the ids of consecutive documents in ascending doc_id order,
 each closed by ``end_id``: the sorted alphabet of ids that occur, a wavelet
@@ -22,9 +25,12 @@ table gives no shard.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,34 +185,91 @@ class Shard:
         return cls(ids, np.frombuffer(parts[2], "<u4").astype(np.int64), matrix)
 
 
-_encoders: dict[str, WordStore] = {}
+#: Characters whose case mapping, composition and classes do not depend on the library or its Unicode version.
+PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7e\u00c0-\u024f]*")
+PLAIN_CLASSES = {r"\p{L}": "a-zA-Z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha()), r"\p{N}": "0-9"}
 
 
-def word_encoder(path: str) -> WordStore:
-    """The worker's encoder for a vocabulary file; kept from task to task."""
-    if path not in _encoders:
+class Encoder:
+    """The library's encoder of a vocabulary file, by distinct words."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        def encode(words: list[bytes]):
-            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-            return np.fromiter((x for e in ids for x in e), np.uint32), np.array([len(e) for e in ids], np.int64)
-
-        _encoders[path] = WordStore(encode, pa.binary())
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pattern, self.marks, self.closing = _plain_pattern(path)
+        self.store = WordStore(self._encode, pa.string(), limit=600_000)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, end to end, and the number of each word's ids.
+
+        Words that the pre-tokenizer leaves whole are encoded many at a time, as
+        a text, in which each word's last id is a piece with the end-of-word
+        suffix; a group where the number of those differs is encoded word by word.
+        """
+        whole = [self.pattern is not None and self.pattern.fullmatch(w) is not None and PLAIN.fullmatch(w) is not None and w not in self.marks for w in words]
+        joined = [w for w, ok in zip(words, whole) if ok]
+        groups = [joined[k : k + 512] for k in range(0, len(joined), 512)]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            flat = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.closing[flat]) + 1
+            if len(ends) != len(group):
+                own = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                flat, ends = np.array(list(chain.from_iterable(own)), np.uint32), np.cumsum([len(x) for x in own])
+            ids.append(flat)
+            counts.append(np.diff(ends, prepend=0))
+        if len(joined) == len(words):
+            return np.concatenate(ids), np.concatenate(counts)
+        flat, size = np.concatenate(ids), np.concatenate(counts)
+        parts = iter(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
+        others = iter(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w for w, ok in zip(words, whole) if not ok], add_special_tokens=False))
+        out = [next(parts) if ok else next(others) for ok in whole]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text whose ids, end to end, are the text's."""
+        if self.pattern is not None and PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+            return self.pattern.findall(text.lower())
+        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]  # ASCII white space
+
+
+def _plain_pattern(path: str):
+    """The pre-tokenizer's pattern, if the file lower-cases, drops what lies between matches and marks ends of words; its special tokens; and which ids end a word."""
+    spec = json.loads(open(path, encoding="utf-8").read())
+    marks = [t["content"] for t in spec.get("added_tokens", [])]
+    lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    suffix = spec["model"].get("end_of_word_suffix")
+    closing = np.zeros(max(spec["model"]["vocab"].values(), default=0) + 1 + len(marks), bool)
+    if suffix:
+        closing[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    if lowers and suffix and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
+        pattern = first["pattern"]["Regex"]
+        for name, members in PLAIN_CLASSES.items():
+            pattern = pattern.replace(name, members)
+        if "\\p" not in pattern:
+            return re.compile(pattern), marks, closing
+    return None, marks, closing
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary file; kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the number of each text's ids; each ends with end_id unless that is None."""
-    words, words_of = [], []
-    for t in texts:
-        own = (t or "").encode().split()  # ASCII white space
-        words += own
-        words_of.append(len(own))
-    flat, sizes = word_encoder(path)(words)
-    counts = per_text(sizes, words_of)
+    split = encoder(path).words
+    parts = [split(t or "") for t in texts]
+    flat, sizes = encoder(path).store(list(chain.from_iterable(parts)))
+    counts = per_text(sizes, [len(p) for p in parts])
     if end_id is None:
         return flat, counts
     out = np.full(len(flat) + len(counts), end_id, np.uint32)
