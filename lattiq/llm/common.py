@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys, with a number each, that split_hot broadcasts at most.
+HOT_KEYS = 50_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -103,10 +105,14 @@ def split_hot(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     pair is lost.  Keys under the limit have the one cell (0, 0).
     """
     whole = rows.withColumns({c: F.lit(0) for c in ("cell_i", "cell_j", "own")})
+    spark = rows.sparkSession
     hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
-    if hot.isEmpty():
-        return whole
     hot = hot.select(F.col(key).alias("__key"), F.ceil(F.col("__n") / limit).cast("int").alias("__k"))
+    found = hot.limit(HOT_KEYS + 1).collect()
+    if not found:
+        return whole
+    if len(found) <= HOT_KEYS:  # of checked size: the rows need no shuffle to meet it
+        hot = F.broadcast(spark.createDataFrame(found, hot.schema))
     joined = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
     joined = joined.withColumn("own", F.pmod(F.xxhash64(member, F.lit("cell")), F.col("__k")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda s: F.struct(F.least("own", s).alias("i"), F.greatest("own", s).alias("j")))

@@ -316,7 +316,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert out == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}}
 
 
-def test_cells_of_hot_keys_hold_every_pair_once(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_cells_of_hot_keys_hold_every_pair_once(spark, monkeypatch, broadcast):
+    from lattiq.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 100 if broadcast else 0)
     df = spark.createDataFrame([("hot", i) for i in range(30)] + [("cold", 99)], "k string, m long")
     cells = {}
     for r in rows(split_hot(df, "k", "m", 7)):
