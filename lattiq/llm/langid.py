@@ -27,6 +27,7 @@ from .common import hash_share, held_out, learnable, small_batches
 
 GRAMS = (1, 2, 3)
 UNDETERMINED = "und"
+CHUNK = 1 << 18  # characters worked on at a time
 
 
 @dataclass
@@ -92,7 +93,7 @@ def _count_cells(batches, langs: list[str], bits: int):
     total = np.zeros(len(langs) * width, np.int64)
     for batch in batches:
         lang = batch.column("lang").to_pylist()
-        for part in _chunks(batch.column("text").to_pylist(), 1 << 20):
+        for part in _chunks(batch.column("text").to_pylist(), CHUNK):
             rows, starts, _ = gram_buckets([p for _, p in part], bits)
             of = np.repeat([index[lang[i]] for i, _ in part], np.diff(np.append(starts, len(rows[0]))))
             for r in rows:
@@ -134,7 +135,7 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     n, k = len(texts), len(model.langs)
     like, letters = np.zeros((n, k)) + model.log_prior, np.zeros(n, bool)
     if k:
-        for part in _chunks(texts, max(1 << 16, (1 << 22) // max(k, 4))):
+        for part in _chunks(texts, max(1 << 14, CHUNK * 4 // max(k, 4))):
             rows, starts, has = gram_buckets([p for _, p in part], model.bits)
             of = np.array([i for i, _ in part])
             np.logical_or.at(letters, of, has)
