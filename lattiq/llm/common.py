@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +59,15 @@ class Workspace:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of finished steps now rather than at its next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver drop shuffle files of finished steps now rather than at its next full collection.
+
+    Only files that no live DataFrame refers to go; the cleaner works beside the
+    next step, after a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def input_bytes(df: DataFrame) -> int:

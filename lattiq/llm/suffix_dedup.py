@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, input_bytes, shuffle_partitions, small_batches
+from .common import Workspace, input_bytes, release, shuffle_partitions, small_batches
 
 WINDOW = 100
 GRAM = 24
@@ -254,7 +254,7 @@ def _pack(sections: list[np.ndarray], text: bytes, press) -> bytes:
     return press(head + b"".join(s.tobytes() for s in sections) + text)
 
 
-_KINDS = ("<i8", "<i8", "u1", "<u8", "<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
+_KINDS = ("<i8", "<i8", "u1", "<u4", "<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
 
 
 def _unpack(blob: bytes):
@@ -278,7 +278,7 @@ def _order_docs(doc: np.ndarray, mark: np.ndarray, known: np.ndarray):
 
 def _blocks(batches, buckets: int):
     """Stage 1: compressed blocks (bucket, block) of pieces and of local spans."""
-    press = zstandard.ZstdCompressor(level=3).compress
+    press = zstandard.ZstdCompressor(level=5).compress
 
     def flush(docs: list, raws: list[bytes]):
         data = np.frombuffer(b"".join(raws), np.uint8)
@@ -320,7 +320,7 @@ def _blocks(batches, buckets: int):
             lo, hi = np.searchsorted(tsn, b), np.searchsorted(tsn, b, side="right")
             used, local = np.unique(np.concatenate([of[x], sd[lo:hi]]), return_inverse=True)
             text = b"".join([buf[s:e] for s, e in zip(first[x].tolist(), (last[x] + WINDOW).tolist())])
-            sections = [doc[used].astype("<i8"), mark[used].astype("<i8"), known[used], key[x].astype("<u8"), content[x].astype("<u8"), local[: len(x)].astype("<u4"), place[x].astype("<u4"), (last - first)[x].astype("u1"), local[len(x) :].astype("<u4"), ss[lo:hi].astype("<u4"), se[lo:hi].astype("<u4")]
+            sections = [doc[used].astype("<i8"), mark[used].astype("<i8"), known[used], (key[x] >> U(32)).astype("<u4"), content[x].astype("<u8"), local[: len(x)].astype("<u4"), place[x].astype("<u4"), (last - first)[x].astype("u1"), local[len(x) :].astype("<u4"), ss[lo:hi].astype("<u4"), se[lo:hi].astype("<u4")]
             ids.append(b)
             blobs.append(_pack(sections, text, press))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
@@ -396,15 +396,19 @@ def _spans_of_bucket(table: pa.Table) -> pa.Table:
 _SPANS = pa.schema([("s_id", pa.int64()), ("s_mark", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
-def covered_spans(docs: DataFrame, space: Workspace) -> DataFrame:
-    """s_id, s_mark, parts: the covered spans of each document that has any, as lists of (start, end) pairs."""
-    spark = docs.sparkSession
-    buckets = max(shuffle_partitions(spark), input_bytes(docs) // BUCKET_BYTES)
-    small_batches(spark)
+def _found_spans(docs: DataFrame) -> DataFrame:
+    buckets = max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // BUCKET_BYTES)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     blocks = marked.mapInArrow(lambda it: _blocks(it, buckets), "bucket long, block binary")
-    found = blocks.groupBy("bucket").applyInArrow(_spans_of_bucket, "s_id long, s_mark long, spans array<int>")
-    return space.write(found, "spans").groupBy("s_id", "s_mark").agg(F.collect_list("spans").alias("parts"))
+    return blocks.groupBy("bucket").applyInArrow(_spans_of_bucket, "s_id long, s_mark long, spans array<int>")
+
+
+def covered_spans(docs: DataFrame, space: Workspace) -> DataFrame:
+    """s_id, s_mark, parts: the covered spans of each document that has any, as lists of (start, end) pairs."""
+    small_batches(docs.sparkSession)
+    spans = space.write(_found_spans(docs), "spans")
+    release(docs.sparkSession)  # nothing refers to the blocks any more
+    return spans.groupBy("s_id", "s_mark").agg(F.collect_list("spans").alias("parts"))
 
 
 def cut(raw: bytes, parts: list[list[int]] | None) -> tuple[bytes, int, int]:
