@@ -14,7 +14,7 @@ are split so that equal ones meet:
     prefixes yields the intervals of the prefix tree; an interval whose
     occurrences are preceded by different bytes is a maximal repeat, reported
     with all its occurrences.  All but the first occurrence are covered bytes.
-3.  Covered spans join the documents, which are cut.
+3.  Covered spans gather by document and join the documents, which are cut.
 
 A bucket holds pieces of about BUCKET_BYTES of text.  Only whether strings are
 equal as 64-bit hashes within one minimiser is trusted when equal pieces
@@ -257,11 +257,14 @@ def _pack(sections: list[np.ndarray], text: bytes, press) -> bytes:
 _KINDS = ("<i8", "<i8", "u1", "<u4", "<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
 
 
-def _unpack(blob: bytes):
+_SPAN_KINDS = ("<i8", "<i8", "u1", "<u4", "<u4", "<u4")
+
+
+def _unpack(blob: bytes, kinds: tuple[str, ...] = _KINDS):
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = struct.unpack_from(f"<{len(_KINDS)}Q", raw)
-    at, out = 8 * len(_KINDS), []
-    for kind, n in zip(_KINDS, sizes):
+    sizes = struct.unpack_from(f"<{len(kinds)}Q", raw)
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, sizes):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out, np.frombuffer(raw, np.uint8, offset=at)
@@ -341,8 +344,8 @@ def _blocks(batches, buckets: int):
         yield flush(docs, raws)
 
 
-def _spans_of_bucket(table: pa.Table) -> pa.Table:
-    """Stage 2: covered spans found in one bucket, as rows of (doc_id, mark, spans)."""
+def _spans_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
+    """Stage 2: covered spans found in one bucket, in blocks by the documents' own bucket."""
     parts = [_unpack(b) for b in table.column("block").to_pylist()]
     sizes = [len(p[0][0]) for p in parts]
     base = np.cumsum([0, *sizes])
@@ -383,6 +386,28 @@ def _spans_of_bucket(table: pa.Table) -> pa.Table:
             at = stop
     d, s, e = (np.concatenate([x[k] for x in spans]) for k in range(3))
     d, s, e = merge_spans(d, s, e)
+    press = zstandard.ZstdCompressor(level=1).compress
+    who, local = np.unique(d, return_inverse=True)
+    who = lead[who]
+    to = ((mark[who] ^ doc[who]) % buckets)[local]
+    by = np.argsort(to, kind="stable")
+    targets, first = np.unique(to[by], return_index=True)
+    out = []
+    for x in np.split(by, first[1:]):
+        used, own = np.unique(local[x], return_inverse=True)
+        w = who[used]
+        out.append(_pack([doc[w].astype("<i8"), mark[w].astype("<i8"), known[w], own.astype("<u4"), s[x].astype("<u4"), e[x].astype("<u4")], b"", press))
+    return pa.table({"bucket": pa.array(targets, pa.int64()), "block": pa.array(out[: len(targets)], pa.binary())})
+
+
+def _spans_of_documents(table: pa.Table) -> pa.Table:
+    """Stage 3: the blocks of one bucket of documents, as a row (s_id, s_mark, spans) for each document."""
+    parts = [_unpack(b, _SPAN_KINDS)[0] for b in table.column("block").to_pylist()]
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    doc, mark, known = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    rank, lead = _order_docs(doc, mark, known)
+    d = rank[np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base)])]
+    d, s, e = merge_spans(d, *(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (4, 5)))
     if not len(d):
         return _SPANS.empty_table()
     edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
@@ -400,22 +425,23 @@ def _found_spans(docs: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // BUCKET_BYTES)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     blocks = marked.mapInArrow(lambda it: _blocks(it, buckets), "bucket long, block binary")
-    return blocks.groupBy("bucket").applyInArrow(_spans_of_bucket, "s_id long, s_mark long, spans array<int>")
+    spans = blocks.groupBy("bucket").applyInArrow(lambda t: _spans_of_bucket(t, buckets), "bucket long, block binary")
+    return spans.groupBy("bucket").applyInArrow(_spans_of_documents, "s_id long, s_mark long, spans array<int>")
 
 
 def covered_spans(docs: DataFrame, space: Workspace) -> DataFrame:
-    """s_id, s_mark, parts: the covered spans of each document that has any, as lists of (start, end) pairs."""
+    """s_id, s_mark, spans: the covered spans of each document that has any, as pairs of start and end."""
     small_batches(docs.sparkSession)
     spans = space.write(_found_spans(docs), "spans")
     release(docs.sparkSession)  # nothing refers to the blocks any more
-    return spans.groupBy("s_id", "s_mark").agg(F.collect_list("spans").alias("parts"))
+    return spans
 
 
-def cut(raw: bytes, parts: list[list[int]] | None) -> tuple[bytes, int, int]:
+def cut(raw: bytes, spans: list[int] | None) -> tuple[bytes, int, int]:
     """What is left of the bytes, how many went, and in how many runs."""
-    if not parts:
+    if not spans:
         return raw, 0, 0
-    pairs = np.concatenate([np.asarray(p, np.int64) for p in parts]).reshape(-1, 2)
+    pairs = np.asarray(spans, np.int64).reshape(-1, 2)
     _, start, end = merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
     keep, at = [], 0
     for s, e in zip(start.tolist(), end.tolist()):
@@ -442,11 +468,11 @@ def deduplicate(docs: DataFrame, names: list[str] | None = None, as_text: bool =
     def run(batches):
         for batch in batches:
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("__text").to_pylist()]
-            done = [cut(r, p) for r, p in zip(raws, batch.column("parts").to_pylist())]
+            done = [cut(r, p) for r, p in zip(raws, batch.column("spans").to_pylist())]
             cols = [pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string()) if as_text else pa.array([d[0] for d in done], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "__kept", "__bytes", "__removed", "__runs"])
 
-    return joined.select(*names, "__text", "parts").mapInArrow(run, schema)
+    return joined.select(*names, "__text", "spans").mapInArrow(run, schema)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
