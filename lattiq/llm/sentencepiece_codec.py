@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-White space becomes U+2581 and a text splits into words that no piece crosses.
+White space becomes U+2581 and a text splits into words that no piece crosses
+(what pieces may cross is read from the model's pieces).
 Distinct words of equal length advance together, a character at a time: hashes
 of all substrings that end there probe the sorted keys of the pieces, and the
 best predecessor of each word is a vectorised maximum whose argument is stored
@@ -32,6 +33,10 @@ from .pieces import WordStore, per_text
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNKNOWN_PENALTY = 10.0
+PAIR_BITS = 21
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = "!-/:-@\\[-`{-~"
+MIXED = re.compile(f"[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]")
 
 
 class PieceModel:
@@ -70,12 +75,17 @@ class PieceModel:
         joined = {c for p in self.id_of if len(p) > 1 for c in p}
         whole = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in joined)
-        self.words = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        word = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        if not whole and not any(MIXED.search(p) for p in self.id_of):
+            # no piece joins a Latin letter and a mark, so runs of either part the words further
+            after = f"(?![^{LETTERS}{MARKS}{SPACE}{alone}])"
+            word = f"{SPACE}*+[{LETTERS}]++{after}|{SPACE}*+[{MARKS}]++{after}|" + word
+        self.words = re.compile("(?s).+" if whole else word)
         self.floor = float(self.scores[usable].min()) - UNKNOWN_PENALTY if usable else -UNKNOWN_PENALTY
         self.powers = BASE ** np.arange(self.longest + 1, dtype=np.uint64)
-        self.fits: dict[int, bool] = {}
+        self.pairs, self.answers = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.raw = [bytes([int(p[3:5], 16)]) if i in set(self.bytes_of.values()) else p.encode() for i, p in enumerate(self.pieces)] if self.bytes_of else [p.encode() for p in self.pieces]
-        self.store = WordStore(self.encode_words, pa.string())
+        self.store = WordStore(self.encode_words, pa.string(), limit=300_000)
 
     # ----- merges, for the pair test of BPE models
 
@@ -93,21 +103,27 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging the concatenation of two pieces gives back the two."""
+        """Whether merging the concatenation of two pieces gives back the two.
+
+        Answers stay in a table of fixed size, in which a pair has one place.
+        """
         size = len(self.pieces) + 1
-        pairs, back = np.unique(left * size + right, return_inverse=True)
-        out = []
-        for pair in pairs.tolist():
-            known = self.fits.get(pair)
-            if known is None:
+        pairs = left * size + right
+        place = ((pairs.astype(np.uint64) * BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.answers[place]
+        missing = np.flatnonzero(self.pairs[place] != pairs)
+        if len(missing):
+            new, back = np.unique(pairs[missing], return_inverse=True)
+            found = np.empty(len(new), bool)
+            for k, pair in enumerate(new.tolist()):
                 a, b = divmod(pair, size)
-                unknown = size - 1 in (a, b)
-                known = unknown or self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-                if len(self.fits) > 2_000_000:
-                    self.fits.clear()
-                self.fits[pair] = known
-            out.append(known)
-        return np.array(out, bool)[back]
+                found[k] = size - 1 in (a, b) or self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            out[missing] = found[back]
+            place = ((new.astype(np.uint64) * BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            # of new pairs with one place the last stays, in both arrays
+            keep = len(place) - 1 - np.unique(place[::-1], return_index=True)[1]
+            self.pairs[place[keep]], self.answers[place[keep]] = new[keep], found[keep]
+        return out
 
     # ----- Viterbi
 
@@ -222,7 +238,7 @@ def model(path: str) -> PieceModel:
 
 def encode(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The named columns and ids array<int> of each whole text."""
-    small_batches(df.sparkSession, 1024)
+    small_batches(df.sparkSession, 512)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
