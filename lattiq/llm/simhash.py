@@ -44,6 +44,8 @@ SEGMENTS, WIDTH, BUDGET = 8, 8, 4
 WORDS = 4
 SEED = 42
 CELL = 8192
+#: Texts of a candidate component that are compared in one piece.
+SETS_CELL = 2048
 MISS = 0.01
 
 
@@ -246,20 +248,131 @@ def components_of_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def signature(shingles: np.ndarray) -> list[int]:
+    """128 bits of a set of shingles, as two signed longs."""
+    data = shingles.astype("<u8").tobytes()
+    return [int(np.uint64(xxhash.xxh64_intdigest(data, seed)).astype(np.int64)) for seed in (SEED, SEED + 1)]
+
+
+def sketches(df: DataFrame, words: int, size: int) -> DataFrame:
+    """doc_id, sign (the signature of its set of shingles) and fp of each row."""
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            sign = pa.array([signature(np.unique(h)) for h in hashes], pa.list_(pa.int64()))
+            fp = pa.array([fingerprint(h, size).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sign, fp], names=["doc_id", "sign", "fp"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign array<long>, fp array<long>")
+
+
+def similar_forest(sets: list[np.ndarray], node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, as pairs of nodes, of the sets whose Jaccard similarity reaches the given one; sets of one node are linked.
+
+    Each set is compared, over an inverted index, with all that are not yet reached.
+    """
+    names, index = np.unique(node, return_inverse=True)
+    sizes, n = np.array([len(x) for x in sets]), len(sets)
+    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, first = np.repeat(np.arange(n), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(token, kind="stable")
+    holders, held = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens)))])
+    left, a, b = np.ones(n, bool), [], []
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed], todo = False, [seed]
+        while todo and left.any():
+            u = todo.pop()
+            mine = token[first[u] : first[u + 1]]
+            start, many = held[mine], held[mine + 1] - held[mine]
+            at = np.arange(many.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) if len(mine) else np.zeros(0, int)
+            shared = np.bincount(holders[at], minlength=n)
+            near = np.flatnonzero(left & (shared > 0) & (shared / np.maximum(sizes[u] + sizes - shared, 1) >= similarity))
+            left[near] = False
+            a += [u] * len(near)
+            b += near.tolist()
+            todo += near.tolist()
+    root = local_roots(len(names), index[np.array(a, int)], index[np.array(b, int)])
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return names[child], names[root[child]]
+
+
+def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: float, space: Workspace, cell: int = SETS_CELL) -> DataFrame:
+    """Edges (a, b) that span the components of the exact links within each candidate component of ``found`` (node, component).
+
+    The texts of a node are those of its doc_id.  All pairs of a candidate
+    component are compared, whether they met as candidates or not.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def read(batches):
+        for batch in batches:
+            sets = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), sets], names=["component", "node", "shingles"])
+
+    texts = docs.join(found, F.col("doc_id") == F.col("node")).select("component", "node", "text")
+    sets = space.write(texts.mapInArrow(read, "component long, node long, shingles array<long>"), "sets")
+    by = ["component", "cell_i", "cell_j"]
+
+    def run(batches):
+        now, sets, nodes = None, [], []
+        for batch in batches:  # sorted; a group may go on in the next batch
+            col = [batch.column(c).to_numpy() for c in by]
+            lists, node = batch.column("shingles"), batch.column("node").to_numpy()
+            flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for k, key in enumerate(zip(*col)):
+                if key != now:
+                    if len(sets) > 1:
+                        yield similar_forest(sets, np.array(nodes), similarity)
+                    now, sets, nodes = key, [], []
+                sets.append(flat[at[k] : at[k + 1]].copy())
+                nodes.append(node[k])
+        if len(sets) > 1:
+            yield similar_forest(sets, np.array(nodes), similarity)
+
+    def edges(batches):
+        for a, b in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = split_hot(sets, "component", "node", cell).select(*by, "node", "shingles")
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(edges, "a long, b long")
+
+
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with their own columns, that are the smallest doc_id of their group.
 
-    Texts whose shingles of ``words`` words have at least the Jaccard similarity
-    link, but for a share of about MISS at the similarity itself and less above
-    it; the budget's margin also links some down to about 0.65.  Rows with a
-    null doc_id stay; of rows with one doc_id, one stays.
+    Texts link whose sets of shingles of ``words`` words have at least the
+    Jaccard similarity, which is computed exactly; no others do, however the
+    rows are counted.  Texts without a word have equal, empty sets.  Pairs are
+    sought among candidates, which miss a share of about MISS at the similarity
+    itself and less above it.  Rows with a null doc_id stay; of rows with one
+    doc_id, one stays.
     """
-    bits, bands, size = band_plan(docs.count(), similarity)
-    prints = fingerprints(docs.select("doc_id", "text"), ["doc_id"], words, size)
-    found = group_by_fingerprint(prints, bands=(bits, bands), budget=wide_budget(size, similarity))
     space = Workspace(docs.sparkSession, "simhash-kept")
-    kept = space.write(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), "n"), "kept")
-    once = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
+    named = docs.where(F.col("doc_id").isNotNull())
+    bits, bands, size = band_plan(docs.count(), similarity)
+    prints = space.write(sketches(named, words, size), "sketches")
+    nodes = space.write(prints.groupBy("sign").agg(F.min("doc_id").cast("long").alias("node"), F.any_value("fp").alias("fp")), "nodes")
+    near = space.write(components(links(nodes.select("node", "fp"), bands=(bits, bands), budget=wide_budget(size, similarity)), space, "candidate"), "candidates")
+    exact = similar_links(named, near, words, similarity, space)
+    repeated = space.write(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    twice = not repeated.isEmpty()
+    if twice:  # a document under several sets (repeated ids) joins them
+        many = prints.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").join(nodes.select(F.col("sign").alias("of"), "node"), F.col("sign") == F.col("of"))
+        exact = exact.union(many.where("doc_id != node").select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b")))
+    merged = components(exact, space)
+    kept = nodes.select("node").distinct().join(merged.where("component < node").select(F.col("node").alias("child")), F.col("node") == F.col("child"), "left_anti")
+    once = named.join(space.write(kept, "kept"), F.col("doc_id") == F.col("node"), "left_semi")
+    if twice:
         once = once.dropDuplicates(["doc_id"])
     return once.unionByName(docs.where(F.col("doc_id").isNull()))

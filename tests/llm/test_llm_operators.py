@@ -304,6 +304,30 @@ def test_near_copies_go_and_other_documents_stay(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in rows(kept)) == list(range(60))
 
 
+def _overlapping(rng, common):
+    """Two texts of distinct words, of 204 shingles each, that share ``common`` of them."""
+    a = [f"w{rng.integers(1 << 40)}" for _ in range(208)]
+    b = a[: common + 4] + [f"w{rng.integers(1 << 40)}" for _ in range(204 - common)]
+    return [" ".join(a), " ".join(b)]
+
+
+def test_texts_under_the_similarity_stay(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for j in (0.5, 0.6, 0.7, 0.78) for _ in range(10) for t in _overlapping(rng, int(204 * 2 * j / (1 + j)))]
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_representatives(df))) == list(range(len(texts)))
+
+
+def test_similar_forest_equals_brute_force():
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(1, 40, 25)]
+    sets = [b[rng.random(len(b)) > p] for b in base for p in (0, 0.05, 0.15, 0.3)]
+    want = brute_components(list(range(len(sets))), lambda i, j: len(np.union1d(sets[i], sets[j])) and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8)
+    a, b = simhash.similar_forest(sets, np.arange(len(sets)), 0.8)
+    root = dict(zip(a.tolist(), b.tolist()))
+    assert [root.get(i, i) for i in range(len(sets))] == want
+
+
 def test_keep_representatives_on_odd_rows(odd, empty):
     kept = simhash.keep_representatives(odd)
     assert sorted(str(r["doc_id"]) for r in rows(kept)) == sorted(["1", "3", "4", "7", "9", "None"])
