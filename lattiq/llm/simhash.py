@@ -10,11 +10,13 @@ number of distinct fingerprints asks for, which gives keys of 8, 16, 24 or 32
 bits.  Pairs that meet in a key are pruned by the chain budgets from that key's
 start before the full Hamming test.
 
-A similarity asked for in terms of shingles (``keep_representatives``) needs a
-wider budget than keys of few bits can serve: at Jaccard 0.8, 64 bits differ in
-10 on average.  There the fingerprint has as many 64-bit words as make enough
-disjoint bands of consecutive segments, a pair at the similarity agreeing in one
-of them with probability 1 - MISS, and the Hamming test covers all the words.
+A similarity asked for in terms of shingles (``keep_representatives``) is computed
+exactly, on sets of shingles.  Its candidates agree in a band of BAND minima of the
+set under as many hash functions, which two sets do with a probability that follows
+from their similarity alone, at no model error and whatever the number of rows; a
+pair at the similarity meets with probability 1 - MISS.  Of a set of few shingles the
+smallest shingles are keys as well: of two sets at the similarity, one of the first
+s - ceil(similarity * s) + 1 of each is shared, so no such pair is missed.
 
 Equal fingerprints are one node, named by the smallest doc_id.  A task reports a
 spanning forest of the links it finds, never all pairs; keys with very many
@@ -46,7 +48,8 @@ SEED = 42
 CELL = 8192
 #: Texts of a candidate component that are compared in one piece.
 SETS_CELL = 2048
-MISS = 0.01
+#: Minima in a band; the share of pairs at the similarity that meet in no band; shingles of a text whose pairs are all found.
+BAND, MISS, FEW = 5, 1e-5, 32
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -91,23 +94,23 @@ def fingerprints(df: DataFrame, keep: list[str], words: int = WORDS, size: int =
     return df.select(*keep, "text").mapInArrow(run, f"{kinds}, fp array<long>")
 
 
-def differing_share(similarity: float) -> float:
-    """Mean share of bits in which texts of this Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def band_count(similarity: float, miss: float = MISS) -> int:
+    """Bands of BAND minima of which two sets of the similarity share none with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log(1 - similarity**BAND))
 
 
-def band_plan(n: int, similarity: float, miss: float = MISS) -> tuple[int, int, int]:
-    """(bits of a band, bands, words of a fingerprint) for n texts."""
-    bits = min(20, max(8, math.ceil(math.log2(max(n, 2))) - 6))
-    agree = (1 - differing_share(similarity)) ** bits
-    bands = math.ceil(math.log(miss) / math.log(1 - agree))
-    return bits, bands, -(-bands // (64 // bits))
-
-
-def wide_budget(words: int, similarity: float) -> int:
-    """Bits that texts of the similarity differ in at most: the mean and three deviations."""
-    share, bits = differing_share(similarity), 64 * words
-    return math.ceil(share * bits + 3 * math.sqrt(bits * share * (1 - share)))
+def candidate_keys(shingles: np.ndarray, similarity: float, factors: np.ndarray) -> np.ndarray:
+    """Keys, as signed longs, of which two sets (sorted) of the similarity share one; ``factors`` are odd, a row a band."""
+    s, out = len(shingles), []
+    if 0 < s <= FEW / similarity:
+        out.append(shingles[: s - math.ceil(similarity * s - 1e-9) + 1])
+    if s > FEW:
+        least = np.full(factors.size, np.iinfo(np.uint64).max)
+        for at in range(0, s, 512):
+            least = np.minimum(least, (shingles[at : at + 512, None] * factors.reshape(1, -1)).min(axis=0))
+        data, width = least.astype("<u8").tobytes(), 8 * factors.shape[1]
+        out.append(np.array([xxhash.xxh64_intdigest(data[k * width : (k + 1) * width], k + 1) for k in range(len(factors))], np.uint64))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def agreeing_sets(depth: int) -> list[tuple[int, ...]]:
@@ -137,15 +140,6 @@ def _keys(depth: int):
     return F.array(*out)
 
 
-def _bands(bits: int, bands: int):
-    """An array column of (key, start): disjoint bands of bits, as many from each word as fit."""
-    per, out = 64 // bits, []
-    for k in range(bands):
-        part = F.shiftrightunsigned(F.element_at("fp", k // per + 1), bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1))
-        out.append(F.struct(F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(part).alias("key"), F.lit(0).alias("start")))
-    return F.array(*out)
-
-
 def _linked(x: np.ndarray, start: np.ndarray, budget: int) -> np.ndarray:
     """Which xors of fingerprint pairs (a row of words each) pass the full Hamming test.
 
@@ -195,10 +189,10 @@ def forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, start: np.ndarra
     return names[child], names[root[child]]
 
 
-def links(nodes: DataFrame, cell: int = CELL, depth: int | None = None, bands: tuple[int, int] | None = None, budget: int = BUDGET) -> DataFrame:
+def links(nodes: DataFrame, cell: int = CELL, depth: int | None = None, budget: int = BUDGET) -> DataFrame:
     """Edges (a, b) between nodes (node long, fp array<long>) that span the components of all links."""
     spark = nodes.sparkSession
-    keys = _bands(*bands) if bands else _keys(depth or chain_depth(nodes.count()))
+    keys = _keys(depth or chain_depth(nodes.count()))
     rows = nodes.select("node", "fp", F.explode(keys).alias("k")).select(F.col("k.key").alias("key"), F.col("k.start").alias("start"), "node", "fp")
     rows = split_hot(rows, "key", "node", cell)
     small_batches(spark, 1 << 16)
@@ -259,19 +253,27 @@ def signature(shingles: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(data, seed)).astype(np.int64)) for seed in (SEED, SEED + 1)]
 
 
-def sketches(df: DataFrame, words: int, size: int) -> DataFrame:
-    """doc_id, sign (the signature of its set of shingles) and fp of each row."""
+def sketches(df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, sign (the signature of its set of shingles) and keys (its candidate keys) of each row."""
     small_batches(df.sparkSession)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (band_count(similarity), BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
-            sign = pa.array([signature(np.unique(h)) for h in hashes], pa.list_(pa.int64()))
-            fp = pa.array([fingerprint(h, size).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sign, fp], names=["doc_id", "sign", "fp"])
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            sign = pa.array([signature(x) for x in sets], pa.list_(pa.int64()))
+            keys = pa.array([candidate_keys(x, similarity, factors) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sign, keys], names=["doc_id", "sign", "keys"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign array<long>, fp array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign array<long>, keys array<long>")
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) from the nodes (node long, keys array<long>) of each key to its smallest."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select(F.col("key").alias("of"), "b")
+    return rows.join(least, F.col("key") == F.col("of")).where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def similar_forest(sets: list[np.ndarray], node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -353,17 +355,16 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Texts link whose sets of shingles of ``words`` words have at least the
     Jaccard similarity, which is computed exactly; no others do, however the
-    rows are counted.  Texts without a word have equal, empty sets.  Pairs are
-    sought among candidates, which miss a share of about MISS at the similarity
-    itself and less above it.  Rows with a null doc_id stay; of rows with one
-    doc_id, one stays.
+    rows are counted.  Texts without a word have equal, empty sets.  Of the pairs
+    at the similarity itself candidates miss a share of MISS, of those above it
+    less, and none that has a text of FEW shingles or fewer.  Rows with a null
+    doc_id stay; of rows with one doc_id, one stays.
     """
     space = Workspace(docs.sparkSession, "simhash-kept")
     named = docs.where(F.col("doc_id").isNotNull())
-    bits, bands, size = band_plan(docs.count(), similarity)
-    prints = space.write(sketches(named, words, size), "sketches")
-    nodes = space.write(prints.groupBy("sign").agg(F.min("doc_id").cast("long").alias("node"), F.any_value("fp").alias("fp")), "nodes")
-    near = space.write(components(links(nodes.select("node", "fp"), bands=(bits, bands), budget=wide_budget(size, similarity)), space, "candidate"), "candidates")
+    prints = space.write(sketches(named, words, similarity), "sketches")
+    nodes = space.write(prints.groupBy("sign").agg(F.min("doc_id").cast("long").alias("node"), F.any_value("keys").alias("keys")), "nodes")
+    near = space.write(components(candidate_links(nodes), space, "candidate"), "candidates")
     exact = similar_links(named, near, words, similarity, space)
     repeated = space.write(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
     twice = not repeated.isEmpty()

@@ -318,6 +318,22 @@ def test_texts_under_the_similarity_stay(spark):
     assert sorted(r["doc_id"] for r in rows(simhash.keep_representatives(df))) == list(range(len(texts)))
 
 
+def test_texts_at_the_similarity_go(spark):
+    rng = np.random.default_rng(10)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    pairs = []
+    for _ in range(200):  # 5 and 4 shingles: similarity 0.8
+        a = [word() for _ in range(9)]
+        pairs += [" ".join(a), " ".join(a[:8])]
+    for _ in range(20):  # equal sets, other repeats
+        a = [word() for _ in range(30)]
+        pairs += [" ".join(a * 2), " ".join(a * 9)]
+    for _ in range(30):
+        pairs += _overlapping(rng, 182)
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(pairs)], SCHEMA)
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_representatives(df))) == list(range(0, len(pairs), 2))
+
+
 def test_similar_forest_equals_brute_force():
     rng = np.random.default_rng(9)
     base = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(1, 40, 25)]
