@@ -182,6 +182,30 @@ def min_spacing(peaks: DataFrame, spacing: float) -> DataFrame:
     return peaks.groupBy("rx", "ry").applyInPandas(run, peaks.schema)
 
 
+def reflected_pairs(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs a < b of centred points with b at most ``reach`` from a's reflection, and that distance.
+
+    Reflections are looked up in cells of ``reach``, so no matrix of all pairs is made.
+    """
+    cx, cy = np.floor(x / reach).astype(np.int64), np.floor(y / reach).astype(np.int64)
+    mx, my = np.floor(-x / reach).astype(np.int64), np.floor(-y / reach).astype(np.int64)
+    cell = lambda i, j: (i << 32) + j
+    order = np.argsort(cell(cx, cy), kind="stable")
+    cells, out = cell(cx, cy)[order], []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            near = cell(mx + i, my + j)
+            first = np.searchsorted(cells, near)
+            many = np.searchsorted(cells, near, side="right") - first
+            a = np.repeat(np.arange(len(x)), many)
+            b = order[np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)]
+            d = np.hypot(x[a] + x[b], y[a] + y[b])
+            ok = (a < b) & (d <= reach)
+            out.append((a[ok], b[ok], d[ok]))
+    a, b, d = (np.concatenate(c) for c in zip(*out))
+    return a, b, d
+
+
 def friedel_origin(peaks: DataFrame, center: tuple[float, float], r0: float, r1: float, max_distance: float, iterations: int = 3) -> DataFrame:
     """Origin of each pattern as the mean midpoint of Friedel pairs in an annulus.
 
@@ -195,11 +219,9 @@ def friedel_origin(peaks: DataFrame, center: tuple[float, float], r0: float, r1:
         for _ in range(iterations):
             r = np.hypot(x - c[0], y - c[1])
             i = np.flatnonzero((r >= r0) & (r < r1))
-            px, py = x[i] - c[0], y[i] - c[1]
-            d = np.hypot(px[:, None] + px[None], py[:, None] + py[None])
-            a, b = np.nonzero(np.triu(d <= max_distance, 1))
+            a, b, d = reflected_pairs(x[i] - c[0], y[i] - c[1], max_distance)
             used, mids = set(), []
-            for k in np.lexsort((b, a, d[a, b])):
+            for k in np.lexsort((b, a, d)):
                 if a[k] not in used and b[k] not in used:
                     used |= {a[k], b[k]}
                     mids.append(((x[i[a[k]]] + x[i[b[k]]]) / 2, (y[i[a[k]]] + y[i[b[k]]]) / 2))

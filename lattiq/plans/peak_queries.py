@@ -206,7 +206,7 @@ def _nms(s, d):
 
 
 def _friedel(s, d):
-    out = P.friedel_origin(P.brightest(peaks(s, d), 60).drop("rank"), CENTER, 4.0, 22.0, 1.5)
+    out = P.friedel_origin(peaks(s, d), CENTER, 4.0, 22.0, 1.5)
     return out.select("rx", "ry", rounded("qx0").alias("qx0"), rounded("qy0").alias("qy0"), "pairs")
 
 
