@@ -14,7 +14,6 @@ from lattiq.operators import cube as C
 from lattiq.operators import detect as T
 from lattiq.operators import flowlines as O
 from lattiq.operators import orientation as A
-from lattiq.operators import peaks as P
 from lattiq.operators import phase as H
 from lattiq.operators import polar as R
 from lattiq.operators import ptychography as Y
@@ -37,9 +36,8 @@ def _reflections(s) -> pd.DataFrame:
 
 
 def _centred(s, d):
-    """The 30 brightest peaks of each position, centred and in reciprocal Angstrom."""
-    p = P.brightest(peaks(s, d), 30).drop("rank")
-    return p.select("rx", "ry", ((F.col("qx") - 26) * 0.04).alias("qx"), ((F.col("qy") - 27) * 0.04).alias("qy"), "intensity")
+    """All peaks of each position, centred and in reciprocal Angstrom; a match gives no weight to what lies beyond its shells."""
+    return peaks(s, d).select("rx", "ry", ((F.col("qx") - 26) * 0.04).alias("qx"), ((F.col("qy") - 27) * 0.04).alias("qy"), "intensity")
 
 
 def _plan(s):

@@ -4,7 +4,7 @@ import numpy as np
 
 from lattiq.model import peaks
 from lattiq.operators import peaks as P
-from lattiq.plans import catalogue
+from lattiq.plans import catalogue, kernel_queries
 
 SF = "/root/testdata/sf0.1"
 
@@ -27,3 +27,8 @@ def test_friedel_pairs_come_from_all_peaks(spark):
     got = {(r["rx"], r["ry"]): r["pairs"] for r in catalogue.queries()["friedel_center"](spark, small).collect()}
     sizes = {(r["rx"], r["ry"]): r["count"] for r in peaks(spark, small).groupBy("rx", "ry").count().collect()}
     assert got.keys() == sizes.keys() and all(n > 30 for n in got.values())  # 60 peaks give 30 pairs at most
+
+
+def test_orientations_and_phases_take_all_peaks(spark):
+    small = "/root/testdata/sf0.01"
+    assert kernel_queries._centred(spark, small).count() == peaks(spark, small).count()
