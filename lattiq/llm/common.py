@@ -6,12 +6,16 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys, with a number each, that split_hot broadcasts at most.
 HOT_KEYS = 50_000
+#: Rows of a few numbers each that a join broadcasts at most, some 200 MB as a hash table.
+BROADCAST_ROWS = 4_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -19,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the frame has them, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where it is set.
 
@@ -35,27 +49,51 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattiq_work"
 
 
+_spaces: list[Workspace] = []
+
+
 class Workspace:
     """Written intermediate tables in the shared folder.
 
     A written table is computed once and survives lost executors, which a cache
-    or a local checkpoint does not.  ``drop`` removes tables no longer needed.
+    or a local checkpoint does not.  ``drop`` removes a table no longer needed;
+    what a lazy result still reads goes with ``sweep``, when that result is stored.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
+        _spaces.append(self)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        with batches_of(self.spark):
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
         self.paths[name] = path
         release(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.paths.pop(name))
+
+    def clear(self) -> None:
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def open_spaces() -> int:
+    """How many workspaces are open; for ``sweep``."""
+    return len(_spaces)
+
+
+def sweep(since: int = 0) -> None:
+    """Remove the workspaces opened after the first ``since``; for callers that have stored what they were built for."""
+    while len(_spaces) > since:
+        _spaces.pop().clear()
 
 
 def release(spark: SparkSession) -> None:
@@ -70,12 +108,47 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def bounded(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow, written frame to join with: broadcast if it has at most ``limit`` rows, else left to be shuffled."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows.hint("merge")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a frame reads (the file sizes for a scan); 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = 2048, size: int = 16 << 20):
+    """Arrow batches of at most so many rows and bytes for what runs inside; the session's settings come back after."""
+    mine = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in mine}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def slices(batches, rows: int, size: int = 16 << 20):
+    """Arrow batches cut to at most ``rows`` rows and, where more than one row, about ``size`` bytes.
+
+    Inside the worker, so that no setting of the session changes.  Memory that the
+    task no longer uses goes back at its end, as the next task's worker is the same.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        each = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, each):
+            yield batch.slice(at, each)
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Bound the rows and bytes that one Arrow batch hands to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -24,16 +24,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
-from .pieces import WordStore, per_text
+from .common import slices
+from .pieces import WordStore, per_text, runs
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNKNOWN_PENALTY = 10.0
 PAIR_BITS = 21
+FILTER_BITS = 20
+CELLS = 1 << 18  # characters that advance together
 LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 MARKS = "!-/:-@\\[-`{-~"
 MIXED = re.compile(f"[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]")
@@ -84,7 +86,13 @@ class PieceModel:
         self.floor = float(self.scores[usable].min()) - UNKNOWN_PENALTY if usable else -UNKNOWN_PENALTY
         self.powers = BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         self.pairs, self.answers = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
-        self.raw = [bytes([int(p[3:5], 16)]) if i in set(self.bytes_of.values()) else p.encode() for i, p in enumerate(self.pieces)] if self.bytes_of else [p.encode() for p in self.pieces]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)  # most substrings are no piece: told by their keys' first bits
+        self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for b, i in self.bytes_of.items():
+            raw[i] = bytes([b])
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self.raw_start, self.spaced = np.cumsum(self.raw_size) - self.raw_size, np.array([r[:1] == b" " for r in raw], np.int64)
         self.store = WordStore(self.encode_words, pa.string(), limit=300_000)
 
     # ----- merges, for the pair test of BPE models
@@ -127,38 +135,52 @@ class PieceModel:
 
     # ----- Viterbi
 
-    def _viterbi(self, codes: np.ndarray) -> np.ndarray:
-        """Piece that ends at each character of the best path, else -1; len(pieces) stands for an unknown character."""
+    def _edges(self, codes: np.ndarray):
+        """All substrings of words of one length that are pieces: (end, length, word, piece), in order of end and length.
+
+        A single character that is no piece gives the piece len(pieces).
+        """
         n, length = codes.shape
-        stranger = len(self.pieces)
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
+        found = []
+        for k in range(1, min(length, self.longest) + 1):
+            key = (prefix[k:] - prefix[: length + 1 - k] * self.powers[k]).ravel()
+            place = np.arange(len(key)) if k == 1 else np.flatnonzero(self.filter[key >> np.uint64(64 - FILTER_BITS)])
+            at = np.minimum(np.searchsorted(self.keys, key[place]), len(self.keys) - 1)
+            hit = self.keys[at] == key[place]
+            if k == 1:
+                ids = np.where(hit, self.ids[at], len(self.pieces))
+            else:
+                place, ids = place[hit], self.ids[at[hit]]
+            found.append((place // n + k, np.full(len(place), k), place % n, ids))
+        end, size, word, ids = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(end, kind="stable")
+        return end[by], size[by], word[by], ids[by]
+
+    def _viterbi(self, codes: np.ndarray) -> np.ndarray:
+        """Piece that ends at each character of the best path, else -1; len(pieces) stands for an unknown character."""
+        n, length = codes.shape
+        stranger = len(self.pieces)
+        end, size, word, ids = self._edges(codes)
+        gain = np.where(ids == stranger, self.floor, self.scores[np.minimum(ids, stranger - 1)])
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
         last, back = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int32)
+        bounds = np.searchsorted(end, np.arange(1, length + 2))
         for j in range(1, length + 1):
-            score = np.full((min(j, self.longest), n), -np.inf)
-            piece = np.full(score.shape, -1, np.int64)
-            for k in range(1, len(score) + 1):
-                key = prefix[j] - prefix[j - k] * self.powers[k]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[at] == key
-                ids = self.ids[at]
-                if k == 1:
-                    ids, known = np.where(found, ids, stranger), np.ones(n, bool)
-                else:
-                    known = found
-                known = known & np.isfinite(best[j - k])
-                if self.bpe and j > k:
-                    rows = np.flatnonzero(known)
-                    known[rows] = self._fits(last[j - k, rows], ids[rows])
-                gain = np.where(ids == stranger, self.floor, self.scores[np.minimum(ids, stranger - 1)])
-                score[k - 1] = np.where(known, best[j - k] + gain, -np.inf)
-                piece[k - 1] = ids
-            choice = score.argmax(axis=0)
-            cols = np.arange(n)
-            best[j], last[j], back[j] = score[choice, cols], piece[choice, cols], choice + 1
+            edge = slice(bounds[j - 1], bounds[j])
+            k, row, piece = size[edge], word[edge], ids[edge]
+            score = best[j - k, row] + gain[edge]
+            ok = np.isfinite(score)
+            if self.bpe:
+                inner = np.flatnonzero(ok & (k < j))
+                ok[inner] = self._fits(last[j - k[inner], row[inner]], piece[inner])
+            k, row, piece, score = k[ok], row[ok], piece[ok], score[ok]
+            np.maximum.at(best[j], row, score)
+            top = np.flatnonzero(score == best[j, row])[::-1]  # of equal scores the shortest piece, stored last, stays
+            last[j, row[top]], back[j, row[top]] = piece[top], k[top]
         out = np.full((n, length), -1, np.int64)
         at, rows = np.full(n, length), np.arange(n)
         while len(rows):
@@ -171,21 +193,28 @@ class PieceModel:
         """Ids of distinct words, end to end, and the number of each word's ids."""
         lengths = np.array([len(w) for w in words])
         order = np.argsort(lengths, kind="stable")
-        found: list = [None] * len(words)
-        at = 0
+        ordered = lengths[order]
+        flats, counts, at = [], [], 0
         while at < len(order):
-            length = lengths[order[at]]
-            end = min(int(np.searchsorted(lengths[order], length, side="right")), at + max(1, 2_000_000 // (int(length) * self.longest)))
+            length = int(ordered[at])
+            end = min(int(np.searchsorted(ordered, length, side="right")), at + max(1, CELLS // length))
             group = order[at:end]
-            codes = np.frombuffer("".join(words[i] for i in group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), length)
+            codes = np.frombuffer("".join([words[i] for i in group.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), length)
             path = self._viterbi(codes)
-            flat, counts = path[path >= 0], (path >= 0).sum(axis=1)
-            split = np.split(flat, np.cumsum(counts)[:-1])
-            for i, ids, row in zip(group, split, path):
-                found[i] = self._spell(words[i], row) if (ids == len(self.pieces)).any() else ids
+            used, strange = path >= 0, np.flatnonzero((path == len(self.pieces)).any(axis=1))
+            flat, count = path[used], used.sum(axis=1)
+            if len(strange):  # unknown characters are spelled out, word by word
+                parts = np.split(flat, np.cumsum(count)[:-1])
+                for i in strange.tolist():
+                    parts[i] = self._spell(words[group[i]], path[i])
+                flat, count = np.concatenate(parts), np.array([len(x) for x in parts])
+            flats.append(flat)
+            counts.append(count)
             at = end
-        sizes = np.array([len(f) for f in found], np.int64)
-        return np.concatenate(found).astype(np.uint32), sizes
+        flat, count = np.concatenate(flats), np.concatenate(counts).astype(np.int64)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[order], sizes[order] = np.cumsum(count) - count, count
+        return flat[runs(starts, sizes)].astype(np.uint32), sizes
 
     def _spell(self, word: str, row: np.ndarray) -> np.ndarray:
         """Replace unknown characters by byte pieces, or by the unknown id where the model has no byte pieces."""
@@ -214,9 +243,26 @@ class PieceModel:
         return flat, per_text(sizes, words_of)
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        flat = np.asarray(ids, np.int64)
+        return self.decode_all(flat, np.array([len(flat)]))[0]
+
+    def decode_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces' bytes of all texts, end to end, without a text's leading space, and where each text ends."""
+        ids = ids.astype(np.int64)
+        skip = np.zeros(len(ids), np.int64)
+        if self.dummy_prefix:
+            first = (np.cumsum(counts) - counts)[counts > 0]
+            skip[first] = self.spaced[ids[first]]
+        sizes = self.raw_size[ids] - skip
+        out = self.raw[runs(self.raw_start[ids] + skip, sizes)]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return out.tobytes(), total[np.cumsum(counts)]
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of ids; bytes that are no UTF-8 become U+FFFD."""
+        data, ends = self.decode_bytes(ids, counts)
+        starts = np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else []
+        return [data[s:e].decode("utf-8", "replace") for s, e in zip(starts, ends.tolist())]
 
 
 def _hash(text: str) -> int:
@@ -238,11 +284,10 @@ def model(path: str) -> PieceModel:
 
 def encode(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The named columns and ids array<int> of each whole text."""
-    small_batches(df.sparkSession, 512)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 512):
             flat, counts = model(path).encode(batch.column("text").to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
@@ -256,16 +301,33 @@ def decode(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        for batch in batches:
-            texts = [model(path).decode(ids or []) for ids in batch.column("ids").to_pylist()]
+        for batch in slices(batches, 512):
+            ids = batch.column("ids")
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = model(path).decode_all(ids.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return df.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{kinds}, decoded string")
 
 
 def pieces_of_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip: whether decoding gives the text back (U+2581 read as a space)."""
-    coded = encode(docs.select("doc_id", "text"), path, ["doc_id", "text"])
-    out = decode(coded, path, ["doc_id", "text", "ids"])
-    want = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == want).alias("round_trip"))
+    """doc_id, n_tokens, ids and round_trip: whether decoding gives the text back (U+2581 read as a space).
+
+    Texts are encoded, and their ids decoded and compared, in one pass.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches, 512):
+            texts = batch.column("text").to_pylist()
+            flat, counts = model(path).encode(texts)
+            data, ends = model(path).decode_bytes(flat, counts)
+            want = [(t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts]
+            same, at = [], 0
+            for w, e in zip(want, ends.tolist()):
+                same.append(data[at:e] == w)
+                at = e
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
