@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches, split_hot
+from .common import Workspace, slices, split_hot
 from .components import components, local_roots
 
 EPSILON = 5.0
@@ -129,10 +129,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, cell: int = CELL)
     used = vectors.where(F.coalesce(sound, F.lit(False))).select("vec_id", "label", "embedding")
     nodes = space.write(used.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
     bits, tables = plan(nodes.count(), threshold)
-    small_batches(spark)
-
     def code(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             lists = batch.column("embedding")
             sizes = np.diff(lists.offsets.to_numpy())
             for d in np.unique(sizes):  # vectors of one length at a time
@@ -198,7 +196,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, cell: int = CELL)
             yield flush(pa.Table.from_batches(held))
 
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
-    small_batches(spark, 4096)
     # rows with n > 0 are link counts of a; the others are forest edges (a, b)
     found = space.write(dealt.mapInArrow(compare, "a long, b long, n long"), "found")
     label_of = components(found.where("n = 0").select("a", "b"), space)

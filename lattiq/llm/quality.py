@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out, learnable, small_batches
+from .common import hash_share, held_out, learnable, slices
 
 NAMES = ("log_bytes", "upper", "digit", "space", "stops", "symbols", "bang", "pipe", "word_bytes", "distinct", "repeat", "line_words", "same_lines", "control")
 
@@ -122,11 +122,10 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, shrink: float = 0.15, ridge: float
 
 def with_statistics(df: DataFrame, names: list[str]) -> DataFrame:
     """Replace the text by ``x``, its statistics."""
-    small_batches(df.sparkSession)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             x = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), x], names=[*names, "x"])
 
@@ -145,12 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20000, **optio
 def score(df: DataFrame, model: QualityModel, names: list[str]) -> DataFrame:
     """The named columns and ``score``: the probability of label 1."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared.value.score(x), pa.float64())], names=[*names, "score"])
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, input_bytes, shuffle_partitions, small_batches
+from .common import Workspace, input_bytes, shuffle_partitions, slices
 from .pieces import WordStore, per_text
 
 MAGIC = b"WMX1"
@@ -282,7 +282,6 @@ def encode_texts(texts: list[str | None], path: str, end_id: int | None) -> tupl
 def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard: int = 1 << 22) -> DataFrame:
     """part, seq, n_docs, n_tokens, data: the shard files in ascending order of (part, seq)."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -298,7 +297,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard:
             seq, size = seq + 1, 0
             return batch
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             flat, counts = encode_texts(batch.column("text").to_pylist(), path, end_id)
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
@@ -320,13 +319,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the shard files."""
-    spark = shards.sparkSession
-    small_batches(spark, 4)
     # a row of a few bytes for each shard file of millions of tokens
     starts = shards.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_tokens")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 4):
             for base, data in zip(batch.column("base").to_pylist(), batch.column("data").to_pylist()):
                 shard = Shard.from_bytes(data)
                 ids = shard.matrix.decode().astype("<u4")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -67,20 +68,54 @@ def test_language_is_learned_and_odd_texts_are_undetermined(docs, odd, empty):
     assert kept.columns == odd.columns and {r["doc_id"] for r in rows(kept)} == {4, 5, 7, 9, None}
 
 
-def test_language_scores_equal_a_plain_sum():
+def plain_grams(text, bits):
+    """Buckets of all 1- to 3-grams, written out: letters in lower case, one space for all else and at both ends."""
+    line = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in " " + text.lower() + " "))
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            h = 0
+            for k, c in enumerate(line[i : i + n]):
+                h = (h * 0x100000001B3 + ord(c) + k + 1) % 2**64
+            out.append((h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - bits))
+    return out
+
+
+def plain_model(langs, bits=6):
     rng = np.random.default_rng(0)
-    bits = 6
-    table_ = np.vstack([np.log(rng.dirichlet(np.ones(1 << bits), 3)).T, np.zeros(3)])
-    m = langid.LanguageModel(["a", "b", "c"], bits, np.log([0.2, 0.3, 0.5]), table_)
-    texts = ["Hello, World", "çà et là", "x", "zz " * 50]
-    lang, score = langid.score_texts(texts, m)
-    for t, got, s in zip(texts, lang, score):
-        h, _, _ = langid.gram_buckets([t], bits)
-        like = m.log_prior + sum(table_[b] for r in h for b in r)
-        post = np.exp(like - like.max()) / np.exp(like - like.max()).sum()
-        assert got == m.langs[int(post.argmax())] and math.isclose(s, post.max(), rel_tol=1e-9)
-    word = langid.gram_buckets(["ab"], bits)[0]
-    assert len(word[0]) == 4 and [int((r < 64).sum()) for r in word] == [4, 3, 2]  # " ab "
+    table_ = np.vstack([np.log(rng.dirichlet(np.ones(1 << bits), langs)).T, np.zeros(langs)])
+    return langid.LanguageModel([chr(97 + k) for k in range(langs)], bits, np.log(np.full(langs, 1 / langs)), table_)
+
+
+def test_language_scores_equal_a_plain_sum(monkeypatch):
+    m = plain_model(3)
+    texts = ["Hello, World", "çà et là", "x", "zz " * 50, "", "12", "Ein Satz; " * 40, "漢字 \x00 ÀB"]
+    for chars in (1 << 15, 64, 7):  # stretches that cut texts anywhere
+        monkeypatch.setattr(langid, "CHUNK", chars)
+        lang, score = langid.score_texts(texts, m)
+        for t, got, s in zip(texts, lang, score):
+            if not any(c.isalpha() for c in t):
+                assert (got, s) == ("und", 0)
+                continue
+            like = m.log_prior + sum(m.log_prob[b] for b in plain_grams(t, 6))
+            post = np.exp(like - like.max()) / np.exp(like - like.max()).sum()
+            assert got == m.langs[int(post.argmax())] and math.isclose(s, post.max(), rel_tol=1e-9)
+
+
+def test_a_very_long_text_is_scored_whole_whatever_the_number_of_languages():
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdefgh éß,. 0"), 1_000_000))
+    counts = np.bincount(plain_grams(text, 6), minlength=65)[:64]
+    for langs in (4, 40):
+        got = np.zeros((langs, 64))
+        m = plain_model(langs)
+        total = np.zeros(64, int)
+        for _, _, _, found in langid.stretches([text], 6):
+            for r in found:
+                total += np.bincount(r, minlength=65)[:64]
+        assert (total == counts).all()
+        like = m.log_prior + counts @ m.log_prob[:64]
+        assert langid.score_texts([text], m)[0] == [m.langs[int(like.argmax())]], got.shape
 
 
 # ----- 2 sharding

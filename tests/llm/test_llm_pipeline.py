@@ -36,6 +36,6 @@ def test_mixed_copies_and_cut_texts_keep_their_rows(spark):
     for doc, (n, size) in taken.items():
         assert copies.get(doc, 0) == (int(n / size + 0.5) if size else 0)
     cut = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
-    full = {r["doc_id"]: r for r in suffix_dedup.deduplicate(docs).collect()}
-    assert set(cut) == {d for d, r in full.items() if not r["__removed"] or r["__kept"]}
-    assert all(r["n_chars"] == len(r["text"]) for d, r in cut.items() if full[d]["__removed"])
+    full = {r["row"]["doc_id"]: r for r in suffix_dedup.deduplicate(docs).collect()}
+    assert set(cut) == {d for d, r in full.items() if not r["n_removed"] or r["kept"]}
+    assert all(r["n_chars"] == len(r["text"]) for d, r in cut.items() if full[d]["n_removed"])
