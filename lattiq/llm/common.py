@@ -64,10 +64,10 @@ class Workspace:
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
         _spaces.append(self)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", batch: int = 2048) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        with batches_of(self.spark):
+        with batches_of(self.spark, batch):
             df.write.mode("overwrite").option("compression", codec).parquet(path)
         self.paths[name] = path
         release(self.spark)
@@ -149,10 +149,16 @@ def slices(batches, rows: int, size: int = 16 << 20):
     pa.default_memory_pool().release_unused()
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Bound the rows and bytes that one Arrow batch hands to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def modest_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to 2,048 rows and 16 MiB where they are Spark's default.
+
+    For owners of a session (the registered queries and the pipeline): a result is
+    lazy, so what bounds its batches has to be there when it is run.  Operators set
+    nothing; the values are the same for all of them.
+    """
+    for key, usual, mine in (("maxRecordsPerBatch", "10000", "2048"), ("maxBytesPerBatch", "67108864b", f"{16 << 20}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", mine)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ def components(edges: DataFrame, space: Workspace, name: str = "component") -> D
     pre-aggregated, and the joins are plain equi-joins that adaptive execution
     can split where a node has very many neighbours.
     """
-    now = space.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    now = space.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", batch=1 << 16)
     check, step = None, 0
     while True:
         stamp = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

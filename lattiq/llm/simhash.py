@@ -10,13 +10,17 @@ number of distinct fingerprints asks for, which gives keys of 8, 16, 24 or 32
 bits.  Pairs that meet in a key are pruned by the chain budgets from that key's
 start before the full Hamming test.
 
-A similarity asked for in terms of shingles (``keep_representatives``) is computed
-exactly, on sets of shingles.  Its candidates agree in a band of BAND minima of the
-set under as many hash functions, which two sets do with a probability that follows
-from their similarity alone, at no model error and whatever the number of rows; a
-pair at the similarity meets with probability 1 - MISS.  Of a set of few shingles the
-smallest shingles are keys as well: of two sets at the similarity, one of the first
-s - ceil(similarity * s) + 1 of each is shared, so no such pair is missed.
+A similarity asked for in terms of shingles (``keep_representatives``) lies beyond
+what chain keys of a fingerprint can seek: at 0.8 about 15 of 100 bits differ, and
+some hundred keys a document would be needed.  There candidates agree in a band of
+BAND minima of the set of shingles under as many hash functions, which two sets do
+with a probability that follows from their similarity alone, whatever the number of
+rows; a pair at the similarity meets with probability 1 - MISS.  Of a set of few
+shingles the smallest shingles are keys as well: of two sets at the similarity, one
+of the first s - ceil(similarity * s) + 1 of each is shared, so no such pair is
+missed.  Pairs that meet are pruned by SimHash fingerprints of PRUNE_WORDS words,
+ring and chain budgets first, and similarity is then computed exactly, on the sets,
+within the components of what is left.
 
 Equal fingerprints are one node, named by the smallest doc_id.  A task reports a
 spanning forest of the links it finds, never all pairs; keys with very many
@@ -24,8 +28,9 @@ fingerprints are dealt over cells of block pairs.
 
 Defined results: a text that is null or has no word has fingerprint zero and
 links like any other; a row with a null doc_id gets its fingerprint, no links
-and a null component; rows with one doc_id count as one document; an empty table
-gives an empty result.  Other columns are not read.
+and a null component; rows with one doc_id count as one document, so that all
+fingerprints of it are in one component; an empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches, split_hot
+from .common import Workspace, bounded, fresh, slices, split_hot
 from .components import components, local_roots
 
 SEGMENTS, WIDTH, BUDGET = 8, 8, 4
@@ -50,6 +55,8 @@ CELL = 8192
 SETS_CELL = 2048
 #: Minima in a band; the share of pairs at the similarity that meet in no band; shingles of a text whose pairs are all found.
 BAND, MISS, FEW = 5, 1e-5, 32
+#: Words of the fingerprints that prune candidates, and how many deviations beyond the mean of pairs at the similarity their budget is.
+PRUNE_WORDS, SLACK = 4, 6.0
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -82,11 +89,10 @@ def fingerprint(hashes: np.ndarray, size: int = 1) -> np.ndarray:
 
 def fingerprints(df: DataFrame, keep: list[str], words: int = WORDS, size: int = 1) -> DataFrame:
     """The named columns and fp, the fingerprint as an array of signed longs."""
-    small_batches(df.sparkSession)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             fp = np.array([fingerprint(shingle_hashes(t, words), size) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * size, pa.int32()), pa.array(fp.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "fp"])
@@ -143,31 +149,38 @@ def _keys(depth: int):
 def _linked(x: np.ndarray, start: np.ndarray, budget: int) -> np.ndarray:
     """Which xors of fingerprint pairs (a row of words each) pass the full Hamming test.
 
-    One-word fingerprints under BUDGET first have to pass the chain budgets from their key's start.
+    First they have to pass the chain budgets: fingerprints of one word from their
+    key's start, longer ones, whose segments are their words, from some start.
     """
-    ok, rows = np.ones(len(x), bool), np.arange(len(x))
-    if x.shape[1] == 1 and budget <= BUDGET:
-        differ = np.bitwise_count(x[:, 0].astype("<u8").view(np.uint8).reshape(-1, SEGMENTS))
-        total = np.zeros(len(x), np.int64)
-        for length in range(1, SEGMENTS + 1):
-            total += differ[rows, (start + length - 1) % SEGMENTS]
-            ok &= total * SEGMENTS <= length * BUDGET
-        rows = np.flatnonzero(ok)
-    total = np.zeros(len(rows), np.int64)
-    for k in range(x.shape[1]):  # differences only add up: most pairs are out after a word or two
-        total += np.bitwise_count(x[rows, k])
-        ok[rows[total > budget]] = False
-        rows, total = rows[total <= budget], total[total <= budget]
-    return ok
+    if x.shape[1] == 1:
+        differ = np.bitwise_count(x[:, 0].astype("<u8").view(np.uint8).reshape(-1, SEGMENTS)).astype(np.int64)
+        starts = [start]
+    else:
+        differ = np.bitwise_count(x).astype(np.int64)
+        starts = [np.full(len(x), k) for k in range(x.shape[1])]
+    segments = differ.shape[1]
+    some, rows = np.zeros(len(x), bool), np.arange(len(x))
+    for first in starts:
+        left, total = rows, np.zeros(len(rows), np.int64)
+        for length in range(1, segments + 1):
+            total = total + differ[left, (first[left] + length - 1) % segments]
+            ok = total * segments <= length * budget
+            left, total = left[ok], total[ok]
+        some[left] = True  # the chain of all segments is the full test
+        rows = rows[~some[rows]]
+    return some
 
 
 def forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, start: np.ndarray, own: np.ndarray, cross: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest, as pairs of nodes, of the links between rows of equal (sorted) group.
 
-    In groups with ``cross`` only rows of different ``own`` are compared.
+    A start below 0 marks a row that links with all of its group.  In groups with
+    ``cross`` only rows of different ``own`` are compared.  Groups that have come
+    to be one component are left early.
     """
     names, index = np.unique(node, return_inverse=True)
-    last = np.searchsorted(group, group, side="right")
+    first, last = np.searchsorted(group, group, side="left"), np.searchsorted(group, group, side="right")
+    heads = np.flatnonzero(first == np.arange(len(group)))
     root, found, size, shift = np.arange(len(names)), [], 0, 1
     rows = np.arange(len(group))
     while True:
@@ -175,13 +188,20 @@ def forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, start: np.ndarra
         if not len(rows):
             break
         a = rows[(~cross[rows] | (own[rows] != own[rows + shift])) & (root[index[rows]] != root[index[rows + shift]])]
-        a = a[_linked(fp[a] ^ fp[a + shift], start[a], budget)]
+        ok = (start[a] < 0) | (start[a + shift] < 0)
+        test = np.flatnonzero(~ok)
+        ok[test] = _linked(fp[a[test]] ^ fp[a[test] + shift], start[a[test]], budget)
+        a = a[ok]
         if len(a):
             found.append((index[a], index[a + shift]))
             size += len(a)
         if size > 1 << 18 or (found and shift % 64 == 0):
             root = local_roots(len(names), *(np.concatenate([np.arange(len(names)), *(f[i] for f in found)]) if i == 0 else np.concatenate([root, *(f[i] for f in found)]) for i in (0, 1)))
             found, size = [], 0
+            own_root = root[index]
+            low, high = np.minimum.reduceat(own_root, heads), np.maximum.reduceat(own_root, heads)
+            done = np.repeat(low == high, np.diff(np.append(heads, len(group))))
+            rows = rows[~done[rows]]
         shift += 1
     if found:
         root = local_roots(len(names), *(np.concatenate([np.arange(len(names)), *(f[i] for f in found)]) if i == 0 else np.concatenate([root, *(f[i] for f in found)]) for i in (0, 1)))
@@ -189,13 +209,16 @@ def forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, start: np.ndarra
     return names[child], names[root[child]]
 
 
-def links(nodes: DataFrame, cell: int = CELL, depth: int | None = None, budget: int = BUDGET) -> DataFrame:
+def links(nodes: DataFrame, cell: int = CELL, depth: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes (node long, fp array<long>) that span the components of all links."""
-    spark = nodes.sparkSession
     keys = _keys(depth or chain_depth(nodes.count()))
-    rows = nodes.select("node", "fp", F.explode(keys).alias("k")).select(F.col("k.key").alias("key"), F.col("k.start").alias("start"), "node", "fp")
+    rows = nodes.select("node", "fp", F.explode(keys).alias("k"))
+    return met(rows.select(F.col("k.key").alias("key"), F.col("k.start").alias("start"), "node", "fp"), BUDGET, cell)
+
+
+def met(rows: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) that span the links of rows (key long, start int, node long, fp array<long>) with one key."""
     rows = split_hot(rows, "key", "node", cell)
-    small_batches(spark, 1 << 16)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -204,7 +227,7 @@ def links(nodes: DataFrame, cell: int = CELL, depth: int | None = None, budget:
             col = {c: table.column(c).to_numpy() for c in table.column_names if c != "fp"}
             fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
             group = np.cumsum(np.concatenate([[0], np.any([col[c][1:] != col[c][:-1] for c in ("key", "cell_i", "cell_j")], axis=0)])) if table.num_rows else np.zeros(0, int)
-            a, b = forest(group, fp, col["node"], col["start"], col["own"], col["cell_i"] != col["cell_j"], budget)
+            a, b = forest(group, fp, col["node"], col["start"].astype(np.int64), col["own"], col["cell_i"] != col["cell_j"], budget)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:  # sorted by key and cell; the last group of a batch may go on in the next
@@ -229,8 +252,11 @@ def group_by_fingerprint(prints: DataFrame, **how) -> DataFrame:
     space = Workspace(prints.sparkSession, "simhash")
     prints = space.write(prints, "fingerprints")
     nodes = space.write(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
-    found = components(links(nodes, **how), space)
     # one document under several fingerprints (repeated ids) joins them
+    several = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
+    several = prints.join(several.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id")).select("id", F.col("fp").alias("of"))
+    joins = several.join(nodes, F.col("fp") == F.col("of")).select(F.col("id").cast("long").alias("a"), F.col("node").alias("b"))
+    found = components(links(nodes, **how).union(joins), space)
     named = nodes.join(found, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
     out = prints.join(named, (F.col("fp") == F.col("of")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", "fp", "component_id")
@@ -253,27 +279,26 @@ def signature(shingles: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(data, seed)).astype(np.int64)) for seed in (SEED, SEED + 1)]
 
 
+def prune_budget(similarity: float) -> int:
+    """Bits of PRUNE_WORDS words in which pairs of sets at the similarity differ, but for a share of well under MISS of them."""
+    bits = 64 * PRUNE_WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+
+
 def sketches(df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, sign (the signature of its set of shingles) and keys (its candidate keys) of each row."""
-    small_batches(df.sparkSession)
+    """doc_id, sign (the signature of its set of shingles), keys (its candidate keys), fp (its fingerprint) and start (-1: a set of few) of each row."""
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, (band_count(similarity), BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            sign = pa.array([signature(x) for x in sets], pa.list_(pa.int64()))
-            keys = pa.array([candidate_keys(x, similarity, factors) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sign, keys], names=["doc_id", "sign", "keys"])
+            longs = pa.list_(pa.int64())
+            cols = [pa.array([signature(x) for x in sets], longs), pa.array([candidate_keys(x, similarity, factors) for x in sets], longs), pa.array([fingerprint(x, PRUNE_WORDS).view(np.int64) for x in sets], longs), pa.array([-1 if len(x) <= FEW / similarity else 0 for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "sign", "keys", "fp", "start"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign array<long>, keys array<long>")
-
-
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) from the nodes (node long, keys array<long>) of each key to its smallest."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node")
-    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select(F.col("key").alias("of"), "b")
-    return rows.join(least, F.col("key") == F.col("of")).where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign array<long>, keys array<long>, fp array<long>, start int")
 
 
 def similar_forest(sets: list[np.ndarray], node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -314,15 +339,13 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
     The texts of a node are those of its doc_id.  All pairs of a candidate
     component are compared, whether they met as candidates or not.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             sets = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), sets], names=["component", "node", "shingles"])
 
-    texts = docs.join(found, F.col("doc_id") == F.col("node")).select("component", "node", "text")
+    texts = docs.select("doc_id", "text").join(bounded(found), F.col("doc_id") == F.col("node")).select("component", "node", "text")
     sets = space.write(texts.mapInArrow(read, "component long, node long, shingles array<long>"), "sets")
     by = ["component", "cell_i", "cell_j"]
 
@@ -356,24 +379,39 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     Texts link whose sets of shingles of ``words`` words have at least the
     Jaccard similarity, which is computed exactly; no others do, however the
     rows are counted.  Texts without a word have equal, empty sets.  Of the pairs
-    at the similarity itself candidates miss a share of MISS, of those above it
-    less, and none that has a text of FEW shingles or fewer.  Rows with a null
-    doc_id stay; of rows with one doc_id, one stays.
+    at the similarity itself candidates miss a share of about MISS, of those above
+    it less, and none that has a text of FEW shingles or fewer.  Rows with a null
+    doc_id stay; of rows with one doc_id one stays, the least by digests of its
+    text and then of all its columns.
     """
     space = Workspace(docs.sparkSession, "simhash-kept")
     named = docs.where(F.col("doc_id").isNotNull())
     prints = space.write(sketches(named, words, similarity), "sketches")
-    nodes = space.write(prints.groupBy("sign").agg(F.min("doc_id").cast("long").alias("node"), F.any_value("keys").alias("keys")), "nodes")
-    near = space.write(components(candidate_links(nodes), space, "candidate"), "candidates")
+    same = prints.groupBy("sign").agg(F.min("doc_id").cast("long").alias("node"), F.max("doc_id").cast("long").alias("top"), F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp"), F.any_value("start").alias("start"))
+    nodes = space.write(same, "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "start", "node", "fp")
+    near = space.write(components(met(keyed, prune_budget(similarity)), space, "candidate"), "candidates")
     exact = similar_links(named, near, words, similarity, space)
-    repeated = space.write(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    repeated = space.write(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "repeated")
     twice = not repeated.isEmpty()
     if twice:  # a document under several sets (repeated ids) joins them
-        many = prints.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").join(nodes.select(F.col("sign").alias("of"), "node"), F.col("sign") == F.col("of"))
+        many = prints.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").join(nodes.select(F.col("sign").alias("of"), "node"), F.col("sign") == F.col("of"))
         exact = exact.union(many.where("doc_id != node").select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b")))
     merged = components(exact, space)
-    kept = nodes.select("node").distinct().join(merged.where("component < node").select(F.col("node").alias("child")), F.col("node") == F.col("child"), "left_anti")
-    once = named.join(space.write(kept, "kept"), F.col("doc_id") == F.col("node"), "left_semi")
-    if twice:
-        once = once.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    # who goes: nodes that have a smaller one in their component, and all but the smallest of equal sets
+    copies = prints.select("doc_id", "sign").join(nodes.where("node < top").select(F.col("sign").alias("of"), "node"), F.col("sign") == F.col("of"))
+    out = merged.where("component < node").select(F.col("node").alias("out"))
+    gone = space.write(out.union(copies.where("doc_id > node").select(F.col("doc_id").cast("long"))).distinct(), "gone")
+    for name in ("sketches", "candidates", "sets"):
+        space.drop(name)
+    name, one = fresh(docs, "out", "one")
+    left = docs.join(bounded(gone.toDF(name)), F.col("doc_id") == F.col(name), "left_anti")
+    if not twice:
+        return left
+    again = bounded(repeated.toDF(name))
+    rest = left.join(again, F.col("doc_id") == F.col(name), "left_anti")
+    alike = left.join(again, F.col("doc_id") == F.col(name), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.xxhash64(*columns))
+    chosen = alike.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias(one))
+    return rest.unionByName(chosen.select(*[F.col(one).getField(c).alias(c) for c in docs.columns]))
