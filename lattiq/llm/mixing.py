@@ -26,14 +26,21 @@ text digest; an empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, bounded
 
 SLOPE = {1: -0.5, 2: 0.0, 3: 0.5}
-BLOCK_DIGITS = 3  # 4096 blocks of each source
+BLOCK_ROWS = 20_000  # documents of a block, about, if one source had all
+
+
+def block_digits(rows: int) -> int:
+    """Hexadecimal digits of the digest that name a block; results do not depend on them."""
+    return min(8, max(3, math.ceil(math.log(max(rows, 1) / BLOCK_ROWS, 16)) if rows else 3))
 
 
 def sizes(docs: DataFrame, *more: str) -> DataFrame:
@@ -68,17 +75,19 @@ def mix(docs: DataFrame, max_epochs: int = 3, *, more: tuple[str, ...] = ()) ->
     in [0, 1]) and position (of the first copy; null if none is taken).
     """
     space = Workspace(docs.sparkSession, "mixing")
-    block = F.substring("place", 1, BLOCK_DIGITS)
-    sized = space.write(sizes(docs), "sizes").withColumn("block", block)
+    sized = space.write(sizes(docs), "sizes")
+    block = F.substring("place", 1, block_digits(sized.count()))
+    sized = sized.withColumn("block", block)
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     goal = targets(sized, max_epochs).withColumnRenamed("source", "of")
     blocks = blocks.withColumn("before", before).join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of", "words")
-    blocks = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "before", "source_size", "weight", "target")
+    blocks = space.write(blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "before", "source_size", "weight", "target"), "blocks")
     inside = W.partitionBy("source", "block").orderBy("place", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     wide = sizes(docs, *more).withColumn("block", block) if more else sized  # texts are not written, only dealt out
     lined = wide.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = lined.join(blocks, (F.col("block") == F.col("b_block")) & F.col("source").eqNullSafe(F.col("b_source")))
+    # as many blocks as sources and digits allow: far fewer than documents
+    joined = lined.join(bounded(blocks, 500_000), (F.col("block") == F.col("b_block")) & F.col("source").eqNullSafe(F.col("b_source")))
     offset = F.col("before") + F.col("ahead")
     goal_words = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(goal_words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -111,7 +120,7 @@ def training_order(docs: DataFrame) -> DataFrame:
     it is taken, so every source comes within a document of its target.
     """
     names = docs.columns
-    row = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names]))
+    row = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     mixed = mix(row, more=("__row",))
     n = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     spread = mixed.where(F.col("size") > 0).select("__row", F.explode(F.slice("positions", F.lit(1), n)).alias("__at"))
