@@ -7,18 +7,22 @@ are split so that equal ones meet:
 1.  Each window is owned by its minimiser, the window's GRAM-byte string with the
     least hash.  Neighbouring windows with one minimiser form a piece, so every
     window lies in exactly one piece and equal windows lie in pieces that share
-    the minimiser.  Of equal pieces a task passes on the first, the others are
-    whole repeats.  Pieces travel in compressed blocks to buckets by minimiser.
-2.  In a bucket, pieces that share a minimiser with a different piece get an
-    enhanced suffix array over their window starts.  A stack scan of the common
-    prefixes yields the intervals of the prefix tree; an interval whose
-    occurrences are preceded by different bytes is a maximal repeat, reported
-    with all its occurrences.  All but the first occurrence are covered bytes.
+    the minimiser.  Of equal pieces, compared byte by byte, a task sends the first
+    with their number; the others are whole repeats.  Pieces travel in compressed
+    blocks to buckets by minimiser.  Minimisers of very many different pieces,
+    measured on a sample, are split: first by the bytes next to the minimiser on
+    the side where all the piece's windows have them, then by whole windows.  The
+    sample decides where strings meet, never what is found.
+2.  In a bucket, distinct pieces are strings with a list of occurrences each, the
+    leaves' multiplicities.  Those that share a minimiser get an enhanced suffix
+    array over their window starts (a single one is a tree of one leaf, as no two
+    windows of a piece are equal).  A stack scan of the common prefixes yields the
+    intervals of the prefix tree; an interval or leaf of several occurrences that
+    are preceded by different bytes is a maximal repeat, reported with all its
+    occurrences.  All but the first occurrence are covered bytes.
 3.  Covered spans gather by document and join the documents, which are cut.
 
-A bucket holds pieces of about BUCKET_BYTES of text.  Only whether strings are
-equal as 64-bit hashes within one minimiser is trusted when equal pieces
-collapse; suffixes are compared byte by byte.
+A bucket holds pieces of about BUCKET_BYTES of text.
 
 Defined results: a null text is empty; a text shorter than the window loses
 nothing; rows with a null doc_id come before all others; rows with equal doc_id
@@ -39,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, input_bytes, release, shuffle_partitions, small_batches
+from .common import Workspace, hash_share, input_bytes, release, shuffle_partitions, slices
+from .pieces import runs
 
 WINDOW = 100
 GRAM = 24
@@ -47,6 +52,8 @@ BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 12 << 20
 PART_BYTES = 4 << 20
 STRETCH_BYTES = 1 << 18
+#: Different pieces of a minimiser beyond which it is split; the sample that tells: its least bytes and share, and how many it names at most.
+HOT_PIECES, SAMPLE_BYTES, SAMPLE_SHARE, HOT_KEYS = 50_000, 32 << 20, 1 / 256, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -92,28 +99,62 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def pieces(data: np.ndarray, doc_ends: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """Pieces of concatenated documents: first and last window start, minimiser hash, content hash.
+def pieces(data: np.ndarray, doc_ends: np.ndarray, window: int = WINDOW, gram: int = GRAM, hot: tuple = ()):
+    """Pieces of concatenated documents: first and last window start, key, content hash and, for ``hot_keys``, the key if split.
 
-    data: under 2**24 bytes.
+    data: under 2**24 bytes.  hot: sorted keys of minimisers that are split by the
+    bytes beside them, and of such splits that are split into windows.
     """
     n = len(data)
+    empty = tuple(np.zeros(0, d) for d in (np.int64, np.int64, U, U, U))
     if n < window:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, U, U))
-    grams, windows = _window_hashes(data, (gram, window))
+        return empty
+    reach = (window - gram) // 2  # bytes beside the minimiser that all windows of a side hold
+    grams, windows, beside = _window_hashes(data, (gram, window, reach))
     place = np.arange(n, dtype=U)
     ranked = ((_mix(grams) >> U(24)) << U(24)) | place
     owner = (_sliding_min(ranked, window - gram + 1)[: n - window + 1] & U((1 << 24) - 1)).astype(np.int64)
     left = np.repeat(doc_ends, np.diff(np.concatenate([[0], doc_ends]))) - np.arange(n)
     starts = np.flatnonzero(left[: n - window + 1] >= window)
     if not len(starts):
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, U, U))
+        return empty
     new = np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(owner[starts]) != 0) | (left[starts[1:]] > left[starts[:-1]])])
     first = starts[new]
     last = starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
     at = owner[first]
+    key = _mix(grams[at])
+
+    def sided(key, at, first):
+        """The key with the bytes on the side that the windows hold: after the minimiser if it stands in their first half."""
+        after = at - first <= reach
+        return _mix(key * U(7) + beside[np.where(after, np.minimum(at + gram, n - 1), np.maximum(at - reach, 0))] * U(11) + after.astype(U))
+
+    if len(hot) and len(hot[0]):
+        split = np.isin(key, hot[0])
+        f, t, a, k = first[split], last[split], at[split], key[split]
+        edge = a - reach  # the first window that holds the bytes after the minimiser
+        lo, hi = f < edge, t >= edge
+        f2, t2, a2 = np.concatenate([f[lo], np.maximum(f, edge)[hi]]), np.concatenate([np.minimum(t, edge - 1)[lo], t[hi]]), np.concatenate([a[lo], a[hi]])
+        k2 = sided(np.concatenate([k[lo], k[hi]]), a2, f2)
+        if len(hot[1]):
+            single = np.isin(k2, hot[1])
+            at_ = runs(f2[single], (t2 - f2 + 1)[single])
+            k3 = _mix(windows[at_] * U(13) + U(1))
+            f2, t2, a2, k2 = np.concatenate([f2[~single], at_]), np.concatenate([t2[~single], at_]), np.concatenate([a2[~single], at_]), np.concatenate([k2[~single], k3])
+        first, last, at, key = np.concatenate([first[~split], f2]), np.concatenate([last[~split], t2]), np.concatenate([at[~split], a2]), np.concatenate([key[~split], k2])
     content = _mix(windows[first] * U(3) + windows[last] * U(5) + (last - first).astype(U) * BASE + (at - first).astype(U))
-    return first, last, _mix(grams[at]), content
+    return first, last, key, content, sided(key, at, first)
+
+
+def equal_to_heads(text: bytes, begin: np.ndarray, size: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """``head`` (the number of the first row that has this row's hashes), with rows whose bytes differ from that row's as heads of their own."""
+    head = head.copy()
+    own = np.flatnonzero(head != np.arange(len(head)))
+    b, n, h = begin[own].tolist(), size[own].tolist(), head[own]
+    hb, hn = begin[h].tolist(), size[h].tolist()
+    differ = [k for k in range(len(own)) if n[k] != hn[k] or text[b[k] : b[k] + n[k]] != text[hb[k] : hb[k] + n[k]]]
+    head[own[differ]] = own[differ]
+    return head
 
 
 def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -187,14 +228,19 @@ def suffix_array(data: np.ndarray, group: np.ndarray, at: np.ndarray, end: np.nd
     return order, np.minimum(common, short)
 
 
-def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int):
+def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int, whole: np.ndarray | None = None):
     """Maximal repeats of at least ``least`` bytes: (first place, last place, length) in the suffix array.
 
     ``before`` is the byte before each suffix (by place), or a number of its own
     where there is none.  The stack holds the open intervals of the common-prefix
     tree as [start, length, byte before all of them or None].  Stretches whose
     suffixes all have one byte before them hold no maximal repeat and are skipped.
+    ``whole`` gives, by place, the length of a leaf that is a repeat by itself,
+    being several equal strings in one, and 0 for any other.
     """
+    if whole is not None:
+        for k in np.flatnonzero(whole >= least).tolist():
+            yield k, k, int(whole[k])
     deep = common >= least
     if not deep.any():
         return
@@ -223,27 +269,42 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, l
                 stack.append([left, length, mark])
 
 
-def repeats_in_bucket(data: np.ndarray, key: np.ndarray, rank: np.ndarray, first: np.ndarray, last: np.ndarray, offset: np.ndarray, window: int = WINDOW):
-    """Maximal repeats among pieces of one bucket that share a minimiser.
+def repeats_in_bucket(data: np.ndarray, key: np.ndarray, size: np.ndarray, offset: np.ndarray, copies: np.ndarray, window: int = WINDOW):
+    """Maximal repeats among distinct pieces of one bucket.
 
-    Piece k is data[offset[k] : offset[k] + last[k] - first[k] + window], of the
-    document numbered rank[k], and begins there at byte first[k].  Yields for
-    each repeat its length and its occurrences as (document, start), in order.
+    Piece k is data[offset[k] : offset[k] + size[k]] and stands for copies[k]
+    equal ones.  Yields for each repeat its length and its occurrences as
+    (piece, start in the piece); each counts for all copies of the piece.  Keys in
+    order of size; pieces alone in their key are trees of one leaf.
     """
     by = np.argsort(key, kind="stable")
-    key, rank, first, last, offset = key[by], rank[by], first[by], last[by], offset[by]
-    count = last - first + 1
-    piece = np.repeat(np.arange(len(key)), count)
-    step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    at = offset[piece] + step
-    end = (offset + count - 1 + window)[piece]
-    order, common = suffix_array(data, key[piece], at, end)
-    before = np.where(step > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))[order]
-    doc, start = rank[piece][order], (first[piece] + step)[order]
-    for a, b, length in maximal_repeats(order, common, before, window):
-        d, s = doc[a : b + 1], start[a : b + 1]
-        o = np.lexsort((s, d))
-        yield length, d[o], s[o]
+    key, size, offset, copies = key[by], size[by], offset[by], copies[by]
+    start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    many = np.diff(np.append(np.flatnonzero(start), len(key)))
+    alone = np.repeat(many == 1, many)
+    for k in np.flatnonzero(alone & (copies > 1)).tolist():
+        yield int(size[k]), by[k : k + 1], np.zeros(1, np.int64)
+    by, key, size, offset, copies = (x[~alone] for x in (by, key, size, offset, copies))
+    low = 0
+    while low < len(key):  # minimisers in chunks of bounded size
+        high = min(low + (1 << 14), len(key))
+        while high < len(key) and key[high] == key[high - 1]:
+            high += 1
+        x = slice(low, high)
+        n = size[x]
+        ends = np.cumsum(n)
+        own = data[runs(offset[x], n)]
+        count = n - window + 1
+        piece = np.repeat(np.arange(len(n)), count)
+        step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        at = (ends - n)[piece] + step
+        order, common = suffix_array(own, key[x][piece], at, ends[piece])
+        before = np.where(step > 0, own[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))[order]
+        whole = np.where((step == 0) & (copies[x][piece] > 1), n[piece], 0)[order]
+        of, at_step = by[x][piece][order], step[order]
+        for a, b, length in maximal_repeats(order, common, before, window, whole):
+            yield length, of[a : b + 1], at_step[a : b + 1]
+        low = high
 
 
 # ----- Spark
@@ -254,7 +315,7 @@ def _pack(sections: list[np.ndarray], text: bytes, press) -> bytes:
     return press(head + b"".join(s.tobytes() for s in sections) + text)
 
 
-_KINDS = ("<i8", "<i8", "u1", "<u4", "<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
+_KINDS = ("<i8", "<i8", "u1", "<u4", "<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u4", "<u4")
 
 
 _SPAN_KINDS = ("<i8", "<i8", "u1", "<u4", "<u4", "<u4")
@@ -279,7 +340,7 @@ def _order_docs(doc: np.ndarray, mark: np.ndarray, known: np.ndarray):
     return rank, by[np.concatenate([[True], np.diff(new) > 0])] if len(by) else by
 
 
-def _blocks(batches, buckets: int):
+def _blocks(batches, buckets: int, hot: tuple = ()):
     """Stage 1: compressed blocks (bucket, block) of pieces and of local spans."""
     press = zstandard.ZstdCompressor(level=5).compress
 
@@ -291,7 +352,7 @@ def _blocks(batches, buckets: int):
         while low < len(ends):
             high = int(np.searchsorted(ends, base[low] + STRETCH_BYTES, side="right"))
             high = max(high, low + 1)
-            f, t, k, c = pieces(data[base[low] : ends[high - 1]], ends[low:high] - base[low])
+            f, t, k, c, _ = pieces(data[base[low] : ends[high - 1]], ends[low:high] - base[low], hot=hot)
             found.append((f + base[low], t + base[low], k, c))
             low = high
         first, last, key, content = (np.concatenate([f[k] for f in found]) for k in range(4))
@@ -301,35 +362,38 @@ def _blocks(batches, buckets: int):
         rank, _ = _order_docs(doc, mark, known)
         of = np.searchsorted(ends, first, side="right")
         place = first - base[of] + np.array([d[2] for d in docs], np.int64)[of]
-        # of equal pieces the first is passed on; the others are repeats as a whole
+        buf = data.tobytes()
+        # of equal pieces the first is passed on with their number; the others are repeats as a whole
         by = np.lexsort((place, rank[of], content, key))
         k, c, r, p = key[by], content[by], rank[of][by], place[by]
         lead = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(by) else np.zeros(0, bool)
-        group = np.cumsum(lead) - 1
-        heads = np.flatnonzero(lead)
-        same = (r == r[heads][group]) & (p == p[heads][group]) if len(by) else lead  # a repeated row, not a repeat
+        head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(by) else np.zeros(0, np.int64)
+        head = equal_to_heads(buf, first[by], (last - first)[by] + WINDOW, head)
+        lead = head == np.arange(len(by))
+        same = (r == r[head]) & (p == p[head])  # a repeated row, not a repeat
         late = by[~same]
+        copies = 1 + np.bincount(head[~same], minlength=len(by))[lead]
         sd, ss, se = merge_spans(of[late], place[late], place[late] + (last - first)[late] + WINDOW)
         sent = by[lead]
         to_piece, to_span = (key[sent] % U(buckets)).astype(np.int64), (mark[sd] ^ doc[sd]) % buckets
         order_p, order_s = np.argsort(to_piece, kind="stable"), np.argsort(to_span, kind="stable")
-        sent, sd, ss, se = sent[order_p], sd[order_s], ss[order_s], se[order_s]
+        sent, copies, sd, ss, se = sent[order_p], copies[order_p], sd[order_s], ss[order_s], se[order_s]
         targets = np.unique(np.concatenate([to_piece, to_span]))
         ids, blobs = [], []
         tp, tsn = to_piece[order_p], to_span[order_s]
-        buf = data.tobytes() if len(data) else b""
         for b in targets.tolist():
-            x = sent[np.searchsorted(tp, b) : np.searchsorted(tp, b, side="right")]
+            own = slice(np.searchsorted(tp, b), np.searchsorted(tp, b, side="right"))
+            x = sent[own]
             lo, hi = np.searchsorted(tsn, b), np.searchsorted(tsn, b, side="right")
             used, local = np.unique(np.concatenate([of[x], sd[lo:hi]]), return_inverse=True)
             text = b"".join([buf[s:e] for s, e in zip(first[x].tolist(), (last[x] + WINDOW).tolist())])
-            sections = [doc[used].astype("<i8"), mark[used].astype("<i8"), known[used], (key[x] >> U(32)).astype("<u4"), content[x].astype("<u8"), local[: len(x)].astype("<u4"), place[x].astype("<u4"), (last - first)[x].astype("u1"), local[len(x) :].astype("<u4"), ss[lo:hi].astype("<u4"), se[lo:hi].astype("<u4")]
+            sections = [doc[used].astype("<i8"), mark[used].astype("<i8"), known[used], (key[x] >> U(32)).astype("<u4"), content[x].astype("<u8"), local[: len(x)].astype("<u4"), place[x].astype("<u4"), (last - first)[x].astype("u1"), local[len(x) :].astype("<u4"), ss[lo:hi].astype("<u4"), se[lo:hi].astype("<u4"), copies[own].astype("<u4")]
             ids.append(b)
             blobs.append(_pack(sections, text, press))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
 
     docs, raws, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches, 2048):
         for d, m, t in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist()):
             raw = (t or "").encode("utf-8", "surrogatepass")
             for k in range(0, len(raw) - WINDOW + 1, PART_BYTES):  # parts of a very long text share no window start
@@ -358,32 +422,34 @@ def _spans_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
     data = np.concatenate([p[1] for p in parts])
     offset = np.cumsum(more + WINDOW) - (more + WINDOW)
     spans = [(rank[np.concatenate([p[0][8].astype(np.int64) + b for p, b in zip(parts, base)])], *(np.concatenate([p[0][k] for p in parts]).astype(np.int64) for k in (9, 10)))]
-    # equal pieces: all but the first are covered
+    copies = np.concatenate([p[0][11] for p in parts]).astype(np.int64)
+    # distinct pieces, each with its occurrences (those of one task being one with their number)
     by = np.lexsort((place, of, content, key))
-    key, content, of, place, more, offset = (x[by] for x in (key, content, of, place, more, offset))
+    key, content, of, place, more, offset, copies = (x[by] for x in (key, content, of, place, more, offset, copies))
     if len(by):
-        head = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
-        heads, group = np.flatnonzero(head), np.cumsum(head) - 1
-        late = ~((of == of[heads][group]) & (place == place[heads][group]))
-        spans.append((of[late], place[late], place[late] + more[late] + WINDOW))
-        key, of, place, more, offset = (x[head] for x in (key, of, place, more, offset))
-        # different pieces with one minimiser: suffix array
-        start = np.concatenate([[True], key[1:] != key[:-1]])
-        runs = np.diff(np.concatenate([np.flatnonzero(start), [len(key)]]))
-        shared = np.flatnonzero(np.repeat(runs > 1, runs))
-        at = 0
-        while at < len(shared):  # minimisers in chunks of bounded size
-            stop = min(at + (1 << 14), len(shared))
-            while stop < len(shared) and key[shared[stop]] == key[shared[stop - 1]]:
-                stop += 1
-            x = shared[at:stop]
-            size = more[x] + WINDOW
-            ends = np.cumsum(size)
-            own = data[np.repeat(offset[x] - (ends - size), size) + np.arange(ends[-1])]
-            found = [(d[1:], s[1:], s[1:] + length) for length, d, s in repeats_in_bucket(own, key[x], of[x], place[x], place[x] + more[x], ends - size)]
-            # repeated rows share a number: an occurrence equal to the first is the first
-            spans += [(d, s, e) for d, s, e in found]
-            at = stop
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+        head = equal_to_heads(data.tobytes(), offset, more + WINDOW, np.flatnonzero(new)[np.cumsum(new) - 1])
+        heads, group = np.unique(head, return_inverse=True)
+        again = (head == np.arange(len(head))) | (of != of[head]) | (place != place[head])  # else a repeated row, not a repeat
+        number = np.bincount(group, weights=np.where(again, copies, copies - 1), minlength=len(heads)).astype(np.int64)
+        members = np.argsort(group, kind="stable")  # of each piece its occurrences, the first first
+        first_member = np.searchsorted(group[members], np.arange(len(heads) + 1))
+        found = list(repeats_in_bucket(data, key[heads], more[heads] + WINDOW, offset[heads], number))
+        # an interval's occurrences are all of its pieces'; beyond each piece's first they lie in the piece's own leaf
+        leaf = np.array([x[0] for _, x, _ in found if len(x) == 1], np.int64)
+        own = members[runs(first_member[leaf] + 1, first_member[leaf + 1] - first_member[leaf] - 1)]
+        own = own[again[own]]
+        spans.append((of[own], place[own], place[own] + more[own] + WINDOW))
+        found = [x for x in found if len(x[1]) > 1]
+        if found:
+            size = np.array([len(x) for _, x, _ in found])
+            where = heads[np.concatenate([x for _, x, _ in found])]
+            d, s = of[where], place[where] + np.concatenate([x for _, _, x in found])
+            e = s + np.repeat([n for n, _, _ in found], size)
+            interval = np.repeat(np.arange(len(found)), size)
+            o = np.lexsort((s, d, interval))
+            late = o[np.concatenate([[False], interval[o][1:] == interval[o][:-1]])]
+            spans.append((d[late], s[late], e[late]))
     d, s, e = (np.concatenate([x[k] for x in spans]) for k in range(3))
     d, s, e = merge_spans(d, s, e)
     press = zstandard.ZstdCompressor(level=1).compress
@@ -421,17 +487,59 @@ def _spans_of_documents(table: pa.Table) -> pa.Table:
 _SPANS = pa.schema([("s_id", pa.int64()), ("s_mark", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
+def hot_keys(docs: DataFrame, pieces_of_key: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of minimisers, and of their splits, that have more than about ``pieces_of_key`` different pieces.
+
+    Counted on a sample of the documents that grows with them; at most HOT_KEYS
+    keys of each kind, the most frequent.
+    """
+    most = pieces_of_key or HOT_PIECES
+    size = input_bytes(docs)
+    share = min(1.0, max(SAMPLE_BYTES / size, SAMPLE_SHARE)) if size else 1.0
+
+    def count(batches):
+        for batch in slices(batches, 1024):
+            raws = [r for r in ((t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()) if len(r) >= WINDOW]
+            for part in _stretches(raws):
+                data = np.frombuffer(b"".join(part), np.uint8)
+                _, _, key, content, split = pieces(data, np.cumsum([len(r) for r in part]))
+                _, one = np.unique(content, return_index=True)
+                for level, k in enumerate((key[one], split[one])):
+                    names, n = np.unique(k, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), level), pa.int32()), pa.array(names.view(np.int64)), pa.array(n, pa.int64())], names=["level", "key", "n"])
+
+    rows = docs.where(hash_share(F.xxhash64("doc_id", "text"), share)).select("text").mapInArrow(count, "level int, key long, n long")
+    hot = rows.groupBy("level", "key").agg(F.sum("n").alias("n")).where(F.col("n") > max(most * share / 2, 8))
+    found = hot.orderBy(F.col("n").desc()).limit(2 * HOT_KEYS).collect()
+    return tuple(np.sort(np.array([r["key"] for r in found if r["level"] == level], np.int64).view(U)) for level in (0, 1))
+
+
+def _stretches(raws: list[bytes]):
+    """Lists of texts of about STRETCH_BYTES; a longer text comes in parts that share all windows but none twice."""
+    part, size = [], 0
+    for r in raws:
+        for k in range(0, len(r) - WINDOW + 1, PART_BYTES):
+            piece = r[k : k + PART_BYTES + WINDOW - 1]
+            if part and size + len(piece) > STRETCH_BYTES:
+                yield part
+                part, size = [], 0
+            part.append(piece)
+            size += len(piece)
+    if part:
+        yield part
+
+
 def _found_spans(docs: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // BUCKET_BYTES)
+    hot = hot_keys(docs)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    blocks = marked.mapInArrow(lambda it: _blocks(it, buckets), "bucket long, block binary")
+    blocks = marked.mapInArrow(lambda it: _blocks(it, buckets, hot), "bucket long, block binary")
     spans = blocks.groupBy("bucket").applyInArrow(lambda t: _spans_of_bucket(t, buckets), "bucket long, block binary")
     return spans.groupBy("bucket").applyInArrow(_spans_of_documents, "s_id long, s_mark long, spans array<int>")
 
 
 def covered_spans(docs: DataFrame, space: Workspace) -> DataFrame:
     """s_id, s_mark, spans: the covered spans of each document that has any, as pairs of start and end."""
-    small_batches(docs.sparkSession)
     spans = space.write(_found_spans(docs), "spans")
     release(docs.sparkSession)  # nothing refers to the blocks any more
     return spans
@@ -452,33 +560,35 @@ def cut(raw: bytes, spans: list[int] | None) -> tuple[bytes, int, int]:
 
 
 def deduplicate(docs: DataFrame, names: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """The named columns of the documents with __kept, __bytes, __removed and __runs.
+    """The named columns of the documents, as one column ``row``, with kept, n_bytes, n_removed and n_spans.
 
-    __kept is binary, or with ``as_text`` the string without broken characters.
+    kept is binary, or with ``as_text`` the string without broken characters.
     """
     names = docs.columns if names is None else names
-    spark = docs.sparkSession
-    space = Workspace(spark, "suffix")
+    space = Workspace(docs.sparkSession, "suffix")
     spans = covered_spans(docs, space)
-    wide = docs.select(*names, F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__mark"), F.col("text").alias("__text"))
-    joined = wide.join(spans, F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__mark") == F.col("s_mark")), "left")
-    small_batches(spark)
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("__kept", T.StringType() if as_text else T.BinaryType()), T.StructField("__bytes", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__runs", T.LongType())])
+    row = F.struct(*(F.col(f"`{c}`") for c in names if c != "text"))
+    wide = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    # spans grow with the documents, so the join is a merge at every size
+    joined = wide.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left").select("row", "text", "spans")
+    kept = T.StringType() if as_text else T.BinaryType()
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("kept", kept), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def run(batches):
-        for batch in batches:
-            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("__text").to_pylist()]
+        for batch in slices(batches, 2048):
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             done = [cut(r, p) for r, p in zip(raws, batch.column("spans").to_pylist())]
+            text = batch.column("text") if as_text else pa.nulls(batch.num_rows, pa.string())
             cols = [pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string()) if as_text else pa.array([d[0] for d in done], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "__kept", "__bytes", "__removed", "__runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), text, *cols], names=["row", "text", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.select(*names, "__text", "spans").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = deduplicate(docs.select("doc_id", "text"), ["doc_id"])
-    return out.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__runs").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -487,7 +597,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Documents of which nothing is left go, unless they were empty before.
     """
     out = deduplicate(docs, as_text=True)
-    less = F.col("__removed") > 0
-    changed = {"text": F.when(less, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(less, F.length("__kept")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    out = out.where(~less | (F.length("__kept") > 0))
-    return out.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    less = F.col("n_removed") > 0
+    out = out.where(~less | (F.length("kept") > 0))
+
+    def column(c: str):
+        if c == "text":
+            return F.when(less, F.col("kept")).otherwise(F.col("text"))
+        own = F.col("row").getField(c)
+        return F.when(less, F.length("kept").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return out.select(*(column(c).alias(c) for c in docs.columns))
