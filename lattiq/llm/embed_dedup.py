@@ -77,45 +77,60 @@ def binary_codes(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed.view("<u8"), np.abs(y).sum(axis=1) / math.sqrt(u.shape[1])
 
 
-def estimates(q: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of unit vectors q (rows) and coded vectors (columns), and their bounds."""
-    dim = q.shape[1]
-    y = q @ rotation(dim, 0).T
-    low = y.min(axis=1, keepdims=True)
-    step = np.maximum((y.max(axis=1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-12)
-    level = np.rint((y - low) / step).astype(np.uint8)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    dot = np.zeros((len(q), len(codes)))
-    for b in range(QUERY_BITS):
-        plane = np.packbits((level >> b) & 1, axis=1, bitorder="little")
-        plane = np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8))).view("<u8")
-        both = np.zeros(dot.shape, np.int64)
-        for w in range(codes.shape[1]):
-            both += np.bitwise_count(plane[:, w, None] & codes[None, :, w])
-        dot += both * (1 << b)
+def quantised(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors under rotation 0 in QUERY_BITS bits: least value, step, bit planes (vector, bit, word) and sum of levels."""
+    y = q @ rotation(q.shape[1], 0).T
+    low = y.min(axis=1)
+    step = np.maximum((y.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
+    level = np.rint((y - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = np.packbits((level[:, None, :] >> np.arange(QUERY_BITS, dtype=np.uint8)[:, None]) & 1, axis=2, bitorder="little")
+    planes = np.ascontiguousarray(np.pad(planes, ((0, 0), (0, 0), (0, -planes.shape[2] % 8)))).view("<u8")
+    return low, step, planes, level.sum(axis=1, dtype=np.int64)
+
+
+def pair_estimates(quantities, codes: np.ndarray, factors: np.ndarray, dim: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of the quantised vectors a and the coded vectors b (rows, pair by pair), and their bounds."""
+    low, step, planes, total = quantities
+    code, dot, ones = codes[b], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for w in range(codes.shape[1]):
+        ones += np.bitwise_count(code[:, w])
+        for bit in range(QUERY_BITS):
+            dot += np.bitwise_count(planes[a, bit, w] & code[:, w]).astype(np.int64) << bit
     # sum over signs of +-(low + step * level)
-    signed = 2 * (low * ones + step * dot) - (dim * low + step * level.sum(axis=1, keepdims=True))
-    spread = np.sqrt(np.maximum(1 - factors**2, 0)) / factors * EPSILON / math.sqrt(max(dim - 1, 1))
-    return signed / math.sqrt(dim) / factors, spread + step / 2 * math.sqrt(dim) / factors
-
-
-def bucket_links(x: np.ndarray, codes: np.ndarray, factors: np.ndarray, keys: np.ndarray, table: int, own: np.ndarray, cross: bool, threshold: float, chunk: int = 512):
-    """Pairs (i, j) of one bucket that link and do not meet in an earlier table, in chunks of rows."""
-    u = unit(x)
-    for at in range(0, len(u), chunk):
-        est, bound = estimates(u[at : at + chunk], codes[at:], factors[at:])
-        i, j = np.nonzero(est + bound >= threshold)
-        keep = i < j
-        i, j = i[keep] + at, j[keep] + at
-        if cross:
-            keep = own[i] != own[j]
-            i, j = i[keep], j[keep]
-        for k in range(0, len(i), 1 << 16):
-            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            linked = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-            a, b = a[linked], b[linked]
-            first = ~(keys[a, :table] == keys[b, :table]).any(axis=1) if table else np.ones(len(a), bool)
-            yield a[first], b[first]
+    signed = 2 * (low[a] * ones + step[a] * dot) - (dim * low[a] + step[a] * total[a])
+    f = factors[b]
+    spread = np.sqrt(np.maximum(1 - f**2, 0)) / f * EPSILON / math.sqrt(max(dim - 1, 1))
+    return signed / math.sqrt(dim) / f, spread + step[a] / 2 * math.sqrt(dim) / f
+
+
+def linked_pairs(x: np.ndarray, codes: np.ndarray, factors: np.ndarray, keys: np.ndarray, table: np.ndarray, group: np.ndarray, own: np.ndarray, cross: np.ndarray, threshold: float, chunk: int = 1 << 16):
+    """Pairs of rows of equal (sorted) group that link and do not meet in an earlier table, in chunks.
+
+    Rows are compared with those one place on, then two, and so on: all groups
+    advance together, however many and small they are.
+    """
+    u, dim = unit(x), x.shape[1]
+    quantities = quantised(u)
+    last = np.searchsorted(group, group, side="right")
+    rows, shift = np.arange(len(group)), 1
+    while True:
+        rows = rows[rows + shift < last[rows]]
+        if not len(rows):
+            return
+        for low in range(0, len(rows), chunk):
+            a = rows[low : low + chunk]
+            b = a + shift
+            keep = ~cross[a] | (own[a] != own[b])
+            a, b = a[keep], b[keep]
+            est, bound = pair_estimates(quantities, codes, factors, dim, a, b)
+            keep = est + bound >= threshold
+            a, b = a[keep], b[keep]
+            keep = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
+            a, b = a[keep], b[keep]
+            earlier = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < table[a][:, None])
+            keep = ~earlier.any(axis=1)
+            yield a[keep], b[keep]
+        shift += 1
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, cell: int = CELL) -> DataFrame:
@@ -154,33 +169,31 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, cell: int = CELL)
 
         def flush(t: pa.Table):
             t = t.combine_chunks()
-            edges = np.concatenate([[0], np.flatnonzero(ids(t)) + 1, [t.num_rows]])
-            sizes = np.diff(edges)
-            name, links, roots_a, roots_b = [], [], [], []
-            if (sizes > 1).any():
-                node, copies, own = (t.column(c).to_numpy() for c in ("node", "copies", "own"))
-                for k in np.flatnonzero(sizes > 1):
-                    part = t.slice(edges[k], sizes[k])
-                    d, number, cross = part.column("dim")[0].as_py(), part.column("table")[0].as_py(), part.column("cell_i")[0].as_py() != part.column("cell_j")[0].as_py()
-                    x = np.array(part.column("embedding").to_pylist(), float).reshape(-1, d)
-                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), "<u8").reshape(len(x), -1)
-                    factors, keys = part.column("factor").to_numpy(), np.array(part.column("keys").to_pylist())
-                    rows_of = slice(edges[k], edges[k + 1])
-                    n, c, o = node[rows_of], copies[rows_of], own[rows_of]
-                    count, root = np.zeros(len(x), np.int64), np.arange(len(x))
-                    for a, b in bucket_links(x, codes, factors, keys, number, o, cross, threshold):
-                        np.add.at(count, a, c[b])
-                        np.add.at(count, b, c[a])
-                        root = local_roots(len(x), np.concatenate([np.arange(len(x)), a]), np.concatenate([root, b]))
-                    hit = np.flatnonzero(count)
-                    name.append(n[hit]), links.append(count[hit])
-                    child = np.flatnonzero(root != np.arange(len(x)))
-                    roots_a.append(n[child]), roots_b.append(n[root[child]])
-            count_rows = np.concatenate(name) if name else np.zeros(0, np.int64)
-            tree = np.concatenate(roots_a) if roots_a else np.zeros(0, np.int64)
-            a = np.concatenate([count_rows, tree])
-            b = np.concatenate([np.zeros(len(count_rows), np.int64), np.concatenate(roots_b) if roots_b else np.zeros(0, np.int64)])
-            n = np.concatenate([np.concatenate(links) if links else np.zeros(0, np.int64), np.zeros(len(tree), np.int64)])
+            number = np.concatenate([[0], np.cumsum(ids(t))])
+            sizes = np.bincount(number)
+            some = np.flatnonzero(sizes[number] > 1)  # vectors alone in their bucket have no pair
+            t, number = t.take(pa.array(some)), number[some]
+            found: list[tuple] = []
+            dims = t.column("dim").to_numpy()
+            for d in np.unique(dims):  # a bucket holds vectors of one length
+                at = np.flatnonzero(dims == d)
+                part = t.take(pa.array(at)).combine_chunks()
+                node, copies, own, place = (part.column(c).to_numpy() for c in ("node", "copies", "own", "table"))
+                lists, codes, keys = (part.column(c).chunk(0) for c in ("embedding", "code", "keys"))
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                codes = np.frombuffer(b"".join(codes.to_pylist()), "<u8").reshape(len(x), -1)
+                keys = keys.flatten().to_numpy().reshape(len(x), -1)
+                cross = part.column("cell_i").to_numpy() != part.column("cell_j").to_numpy()
+                names, index = np.unique(node, return_inverse=True)
+                count, root = np.zeros(len(names), np.int64), np.arange(len(names))
+                for a, b in linked_pairs(x, codes, part.column("factor").to_numpy(), keys, place, number[at], own, cross, threshold):
+                    np.add.at(count, index[a], copies[b])
+                    np.add.at(count, index[b], copies[a])
+                    if len(a):
+                        root = local_roots(len(names), np.concatenate([np.arange(len(names)), index[a]]), np.concatenate([root, index[b]]))
+                hit, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(names)))
+                found += [(names[hit], np.zeros(len(hit), np.int64), count[hit]), (names[child], names[root[child]], np.zeros(len(child), np.int64))]
+            a, b, n = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:  # sorted; the last group of a batch may go on in the next
@@ -197,7 +210,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, cell: int = CELL)
 
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
     # rows with n > 0 are link counts of a; the others are forest edges (a, b)
-    found = space.write(dealt.mapInArrow(compare, "a long, b long, n long"), "found")
+    found = space.write(dealt.mapInArrow(compare, "a long, b long, n long"), "found", batch=1 << 14)
     label_of = components(found.where("n = 0").select("a", "b"), space)
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("more"))
     full = nodes.join(counts, F.col("node") == F.col("a"), "left").drop("a").join(label_of.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
