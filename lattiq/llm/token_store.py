@@ -10,9 +10,11 @@ the vocabulary file) first, which leaves far fewer distinct words.
 
 A shard file holds the ids of consecutive documents in ascending doc_id order,
 each closed by ``end_id``: the sorted alphabet of ids that occur, a wavelet
-matrix over their ranks (a bit plane per level, packed and zstd-compressed), and
-the documents' ids and lengths.  Loading it gives access, rank, select, count
-and occurrences without expanding the tokens.
+matrix over their ranks (a bit plane per level, as it is, beside the number of
+set bits before each 512 of its bits), the documents' ids, and how many end ids
+each document holds.  A file gives access, rank, select, count and occurrences
+where it lies, without expanding planes or tokens; where documents begin and end
+is what select says of the end id.
 
 Shard files are bounded by ``tokens_per_shard`` (a longer document has a file of
 its own), and travel as binary rows of a Parquet table, so any file system that
@@ -40,22 +42,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, input_bytes, shuffle_partitions, slices
+from .common import Workspace, bounded, input_bytes, shuffle_partitions, slices
 from .pieces import WordStore, per_text
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+PROBES = 256  # tokens of a shard that reading it checks by access
+
+
+BLOCK = 8  # words of 64 bits that share an entry of the rank directory
 
 
 class WaveletMatrix:
-    """Rank/select over a sequence of integers, a bit plane per level."""
+    """Rank/select over a sequence of integers, a bit plane per level and a directory of ranks for each."""
 
-    def __init__(self, alphabet: np.ndarray, n: int, planes: list[np.ndarray]):
+    def __init__(self, alphabet: np.ndarray, n: int, planes: list[np.ndarray], before: list[np.ndarray] | None = None):
         self.alphabet, self.n = alphabet, n
-        self.bits = planes  # packed, little bit order, padded to whole 64-bit words
-        self.before = []  # set bits before each 64-bit word
-        for p in planes:
-            ones = np.bitwise_count(p.view("<u8")).astype(np.int64)
-            self.before.append(np.concatenate([[0], np.cumsum(ones)]))
+        self.bits = planes  # packed, little bit order, padded to whole blocks, of which the last is empty or not full
+        self.before = before or [directory(p) for p in planes]  # set bits before each block, and all
         self.zeros = [n - int(b[-1]) for b in self.before]
 
     @classmethod
@@ -70,7 +73,7 @@ class WaveletMatrix:
         for level in range(levels):
             bit = ((codes >> (levels - 1 - level)) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
-            planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]))
+            planes.append(np.concatenate([packed, np.zeros(8 * BLOCK - len(packed) % (8 * BLOCK), np.uint8)]))
             codes = np.concatenate([codes[~bit], codes[bit]])
         return cls(alphabet.astype(np.uint32), len(ids), planes)
 
@@ -78,8 +81,12 @@ class WaveletMatrix:
         """Set bits among the first i of a plane."""
         i = np.asarray(i, np.int64)
         word, rest = i >> 6, (i & 63).astype(np.uint64)
-        words = np.append(self.bits[level].view("<u8"), np.uint64(0))
-        return self.before[level][word] + np.bitwise_count(words[word] & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.int64)
+        words = self.bits[level].view("<u8")
+        out = self.before[level][word // BLOCK].astype(np.int64) + np.bitwise_count(words[word] & ((np.uint64(1) << rest) - np.uint64(1)))
+        for k in range(BLOCK - 1):  # whole words of the block
+            at = word // BLOCK * BLOCK + k
+            out = out + np.where(at < word, np.bitwise_count(words[at]), 0)
+        return out
 
     def _bit(self, level: int, i):
         return (self.bits[level][i >> 3] >> (i & 7).astype(np.uint8)) & 1
@@ -118,12 +125,17 @@ class WaveletMatrix:
 
     def _select_bit(self, level: int, value: int, k):
         """Position of the k-th bit (0-based) that equals value."""
-        words = self.before[level]
-        before = words if value else np.arange(len(words)) * 64 - words
-        word = np.searchsorted(before, k, side="right") - 1
-        left = k - before[word]
-        block = np.unpackbits(self.bits[level].reshape(-1, 8)[word], axis=-1, bitorder="little") == value
-        return word * 64 + np.argmax(np.cumsum(block, axis=-1) > left[:, None], axis=-1)
+        ones = self.before[level].astype(np.int64)
+        before = ones if value else np.arange(len(ones)) * (64 * BLOCK) - ones
+        block = np.minimum(np.searchsorted(before, k, side="right"), len(before) - 1) - 1
+        left = k - before[block]
+        held = np.bitwise_count(self.bits[level].view("<u8").reshape(-1, BLOCK)[block]).astype(np.int64)
+        upto = np.cumsum(held if value else 64 - held, axis=-1)
+        inner = np.argmax(upto > left[:, None], axis=-1)
+        left = left - np.where(inner > 0, upto[np.arange(len(inner)), inner - 1], 0)
+        word = block * BLOCK + inner
+        bits = np.unpackbits(self.bits[level].reshape(-1, 8)[word], axis=-1, bitorder="little") == value
+        return word * 64 + np.argmax(np.cumsum(bits, axis=-1) > left[:, None], axis=-1)
 
     def select(self, token: int, k) -> np.ndarray:
         """Positions of the k-th occurrences (0-based) of the token."""
@@ -152,37 +164,55 @@ class WaveletMatrix:
         return self.alphabet[codes] if self.n else np.zeros(0, np.uint32)
 
 
+def directory(plane: np.ndarray) -> np.ndarray:
+    """Set bits before each block of a plane, and in all of it."""
+    ones = np.bitwise_count(plane.view("<u8")).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+    return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+
+
 class Shard:
-    """A shard file: documents' ids and lengths, and the wavelet matrix of all their tokens."""
+    """A shard file: documents' ids, how many end ids each holds, and the wavelet matrix of all their tokens."""
+
+    def __init__(self, doc_ids: list, marks: np.ndarray, end_id: int, matrix: WaveletMatrix):
+        self.doc_ids, self.marks, self.end_id, self.matrix = doc_ids, marks, end_id, matrix
 
-    def __init__(self, doc_ids: list, lengths: np.ndarray, matrix: WaveletMatrix):
-        self.doc_ids, self.lengths, self.matrix = doc_ids, lengths, matrix
+    def ends(self) -> np.ndarray:
+        """Where each document ends, its end id included: selected from the matrix."""
+        out = [self.matrix.select(self.end_id, k) + 1 for k in np.array_split(np.cumsum(self.marks) - 1, max(1, len(self.marks) >> 14))]
+        return np.concatenate(out)
 
     def to_bytes(self) -> bytes:
         press = zstandard.ZstdCompressor(level=1).compress
         known = np.array([x is not None for x in self.doc_ids], np.uint8)
         ids = np.array([x or 0 for x in self.doc_ids], "<i8")
-        parts = [ids.tobytes(), known.tobytes(), self.lengths.astype("<u4").tobytes(), self.matrix.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in self.matrix.bits)]
-        parts = [press(p) for p in parts]
-        head = MAGIC + struct.pack("<QQII", len(ids), self.matrix.n, len(self.matrix.alphabet), len(self.matrix.bits))
-        return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+        m = self.matrix
+        parts = [press(ids.tobytes()), press(known.tobytes()), press(self.marks.astype("<u4").tobytes()), m.alphabet.astype("<u4").tobytes()]
+        for bits, before in zip(m.bits, m.before):
+            parts += [before.tobytes(), bits.tobytes()]
+        parts = [p + bytes(-len(p) % 8) for p in parts]
+        head = MAGIC + struct.pack("<IQQII", self.end_id, len(ids), m.n, len(m.alphabet), len(m.bits))
+        head += struct.pack(f"<{len(parts)}Q", *map(len, parts))
+        return head + bytes(-len(head) % 8) + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix shard")
-        docs, n, sigma, levels = struct.unpack_from("<QQII", data, 4)
-        at = 4 + struct.calcsize("<QQII")
-        sizes = struct.unpack_from(f"<{4 + levels}Q", data, at)
+        end_id, docs, n, sigma, levels = struct.unpack_from("<IQQII", data, 4)
+        at = 4 + struct.calcsize("<IQQII")
+        sizes = struct.unpack_from(f"<{4 + 2 * levels}Q", data, at)
         at += 8 * len(sizes)
+        at += -at % 8
         parts, view = [], memoryview(data)
         for s in sizes:
-            parts.append(zstandard.ZstdDecompressor().decompress(view[at : at + s]))
+            parts.append(view[at : at + s])
             at += s
-        known = np.frombuffer(parts[1], np.uint8)
-        ids = [int(x) if k else None for x, k in zip(np.frombuffer(parts[0], "<i8"), known)]
-        matrix = WaveletMatrix(np.frombuffer(parts[3], "<u4"), n, [np.frombuffer(p, np.uint8) for p in parts[4:]])
-        return cls(ids, np.frombuffer(parts[2], "<u4").astype(np.int64), matrix)
+        loose = [zstandard.ZstdDecompressor().decompressobj().decompress(p) for p in parts[:3]]
+        known = np.frombuffer(loose[1], np.uint8)
+        ids = [int(x) if k else None for x, k in zip(np.frombuffer(loose[0], "<i8"), known)]
+        before = [np.frombuffer(p, "<u4", count=len(p) // 4)[: len(q) // (8 * BLOCK) + 1] for p, q in zip(parts[4::2], parts[5::2])]
+        matrix = WaveletMatrix(np.frombuffer(parts[3], "<u4", count=sigma), n, [np.frombuffer(p, np.uint8) for p in parts[5::2]], before)
+        return cls(ids, np.frombuffer(loose[2], "<u4").astype(np.int64), end_id, matrix)
 
 
 #: Characters whose case mapping, composition and classes do not depend on the library or its Unicode version.
@@ -286,14 +316,15 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard:
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        held: list = [[], [], []]  # doc ids, lengths, ids
+        held: list = [[], []]  # doc ids, ids
         size = 0
 
         def shard():
             nonlocal seq, size
-            out = Shard(held[0], np.array(held[1], np.int64), WaveletMatrix.build(np.concatenate(held[2]))).to_bytes()
+            marks = np.array([np.count_nonzero(x == end_id) for x in held[1]], np.int64)
+            out = Shard(held[0], marks, end_id, WaveletMatrix.build(np.concatenate(held[1]))).to_bytes()
             batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(held[0])], pa.int64()), pa.array([size], pa.int64()), pa.array([out], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "data"])
-            held[:] = [[], [], []]
+            held[:] = [[], []]
             seq, size = seq + 1, 0
             return batch
 
@@ -304,8 +335,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard:
                 if size and size + n > tokens_per_shard:
                     yield shard()
                 held[0].append(doc)
-                held[1].append(n)
-                held[2].append(flat[at : at + n])
+                held[1].append(flat[at : at + n])
                 size += n
                 at += n
         if held[0]:
@@ -318,20 +348,28 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, tokens_per_shard:
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the shard files."""
-    # a row of a few bytes for each shard file of millions of tokens
-    starts = shards.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_tokens")
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files: bounds by select, ids by decoding the planes."""
+    # tokens before a file: in its part, and in the parts before, of which there are as many as tasks wrote
+    inside = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    files = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = files.join(parts, "part").select("part", "seq", (F.col("inside") + F.col("before")).alias("base"))
 
     def run(batches):
         for batch in slices(batches, 4):
             for base, data in zip(batch.column("base").to_pylist(), batch.column("data").to_pylist()):
                 shard = Shard.from_bytes(data)
+                ends = shard.ends()
+                lengths = np.diff(ends, prepend=0)
                 ids = shard.matrix.decode().astype("<u4")
-                ends = np.cumsum(shard.lengths)
-                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), shard.lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(base + ends - shard.lengths, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                probe = np.linspace(0, len(ids) - 1, min(PROBES, len(ids))).astype(np.int64)
+                if not np.array_equal(shard.matrix.access(probe), ids[probe]):
+                    raise ValueError("a shard's planes and rank directory do not agree")
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(base + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(F.broadcast(starts), ["part", "seq"]).select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(bounded(starts), ["part", "seq"]).select("base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lattiq.llm import components as cc
@@ -198,8 +199,6 @@ def test_repeats_on_odd_rows_and_very_long_parts(odd, empty, spark, monkeypatch)
     b = [t.encode() for t, _ in texts]
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 500)
     monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 900)
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([7, 7, 8]), pa.array([t for t, _ in texts])], names=["doc_id", "mark", "text"])
     blocks = pa.concat_tables([pa.Table.from_batches([x]) for x in suffix_dedup._blocks([batch], 1)])
     found = suffix_dedup._spans_of_documents(suffix_dedup._spans_of_bucket(blocks, 1)).to_pylist()
@@ -210,6 +209,45 @@ def test_repeats_on_odd_rows_and_very_long_parts(odd, empty, spark, monkeypatch)
         assert (len(b[k]), removed, runs, hashlib.sha256(kept).hexdigest()) == want[k]
 
 
+@pytest.mark.parametrize("hot", [0, 1])
+def test_split_minimisers_and_equal_hashes_change_nothing(spark, monkeypatch, hot):
+    rng = np.random.default_rng(3)
+    line = "This line of words stands in very many texts of the table, in front of and behind others."  # under a window
+    texts = []
+    for i in range(120):
+        around = "".join(rng.choice(list("abcde "), 300))
+        texts.append((i, around[:150] + line + (around[150:] if i % 4 else texts[i - 3][1][240:]) if i > 3 else around + line))
+    found = []
+    real = suffix_dedup.hot_keys
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "hot_keys", lambda docs: found.append(real(docs, 12)) or found[-1])
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.deduplicated_documents(df))}
+    assert got == brute_repeats(texts) and any(r[1] for r in got.values())
+    if hot:
+        assert len(found[0][0]) and len(found[0][1])  # both levels were split
+
+
+def test_pieces_of_equal_hash_and_different_bytes_are_apart():
+    text = b"x" * 100 + b"x" * 100 + b"y" * 100
+    head = suffix_dedup.equal_to_heads(text, np.array([0, 100, 200]), np.full(3, 100), np.zeros(3, np.int64))
+    assert head.tolist() == [0, 0, 2]
+
+
+def test_spans_come_from_the_tree(monkeypatch):
+    texts = [(0, "".join(f"{i} " for i in range(100))), (1, "".join(f"{i} " for i in range(100)))]
+    seen = []
+    real = suffix_dedup.repeats_in_bucket
+    packed = [suffix_dedup._blocks([pa.RecordBatch.from_pydict({"doc_id": [k], "mark": [k], "text": [t]})], 1) for k, t in texts]
+
+    table_ = pa.concat_tables([pa.Table.from_batches([x]) for p in packed for x in p])
+    monkeypatch.setattr(suffix_dedup, "repeats_in_bucket", lambda *a: seen.append(1) or iter(()))
+    assert suffix_dedup._spans_of_bucket(table_, 1).num_rows == 0 and seen
+    monkeypatch.setattr(suffix_dedup, "repeats_in_bucket", real)
+    (span,) = suffix_dedup._spans_of_documents(suffix_dedup._spans_of_bucket(table_, 1)).to_pylist()
+    assert span["s_id"] == 1 and span["spans"] == [0, len(texts[1][1])]
+
+
 def test_suffix_array_and_maximal_repeats_equal_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -312,6 +350,36 @@ def test_fingerprints_and_components_equal_brute_force(docs, odd, empty):
     assert rows(simhash.components_of_documents(empty)) == []
 
 
+def test_fingerprints_of_one_document_are_in_one_component(spark):
+    a, b = "one two three four five six", "quite other words stand here now"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (8, "alone in its own group of words")], "doc_id long, text string")
+    out = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in rows(simhash.components_of_documents(df))}
+    assert len(out) == 5 and {k[0]: v for k, v in out.items()} == {3: 3, 5: 3, 7: 3, 8: 8} and set(out.values()) == {3, 8}
+
+
+def test_of_rows_with_one_id_the_same_one_stays(spark):
+    data = [(1, "a text of words that is here only once", "x"), (4, "first text of this repeated number", "p"), (4, "second text of this repeated number, longer", "q"), (4, "first text of this repeated number", "r")]
+    kept = []
+    for order in (data, data[::-1], data[1:] + data[:1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, out string").repartition(3)
+        kept.append(sorted(tuple(r) for r in simhash.keep_representatives(df).collect()))
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 4]
+
+
+def test_pruning_fingerprints_lose_no_pair_at_the_similarity():
+    rng = np.random.default_rng(12)
+    budget, most = simhash.prune_budget(0.8), 0
+    for n in (33, 45, 90, 300):
+        for _ in range(300):
+            shared, own = math.ceil(n * 0.8), n - math.ceil(n * 0.8)
+            a = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+            b = np.concatenate([a, rng.integers(0, 1 << 63, own, dtype=np.uint64)])
+            x = simhash.fingerprint(a, simhash.PRUNE_WORDS) ^ simhash.fingerprint(b, simhash.PRUNE_WORDS)
+            most = max(most, int(np.bitwise_count(x).sum()))
+            assert simhash._linked(x[None], np.zeros(1, int), budget).all()
+    assert most < budget
+
+
 @pytest.mark.parametrize("depth", [1, 3, 5, 7])
 def test_chain_keys_lose_no_link(spark, depth):
     rng = np.random.default_rng(depth)
@@ -411,7 +479,7 @@ def test_wavelet_matrix_access_rank_select():
     rng = np.random.default_rng(6)
     for ids in (rng.integers(0, 49000, 5000), np.full(130, 7), rng.integers(0, 3, 64), np.zeros(0, int)):
         ids = ids.astype(np.uint32)
-        m = token_store.Shard.from_bytes(token_store.Shard([1, None], np.array([len(ids), 0]), token_store.WaveletMatrix.build(ids)).to_bytes()).matrix
+        m = token_store.Shard.from_bytes(token_store.Shard([1, None], np.array([1, 1]), 1, token_store.WaveletMatrix.build(ids)).to_bytes()).matrix
         assert np.array_equal(m.decode(), ids)
         if len(ids):
             at = rng.integers(0, len(ids), 50)
@@ -423,6 +491,23 @@ def test_wavelet_matrix_access_rank_select():
                 m.select(token, m.count(token))
 
 
+def test_bounds_come_from_select_and_ids_are_probed_by_access(monkeypatch):
+    rng = np.random.default_rng(7)
+    parts = [np.append(rng.integers(0, 40, int(n)), 1).astype(np.uint32) for n in rng.integers(0, 3000, 60)]
+    marks = np.array([(p == 1).sum() for p in parts])  # end ids inside documents too
+    shard = token_store.Shard.from_bytes(token_store.Shard(list(range(60)), marks, 1, token_store.WaveletMatrix.build(np.concatenate(parts))).to_bytes())
+    assert shard.ends().tolist() == np.cumsum([len(p) for p in parts]).tolist()
+    whole = np.concatenate(parts)
+    assert np.array_equal(shard.matrix.access(np.arange(len(whole))), whole)
+    for plane, before in zip(shard.matrix.bits, shard.matrix.before):  # the directory is read, not made anew
+        bits = np.unpackbits(plane, bitorder="little")
+        assert before.tolist() == [0, *np.cumsum(bits.reshape(-1, 512).sum(axis=1)).tolist()]
+    broken = [b.copy() for b in shard.matrix.before]
+    broken[0][1:] += 1
+    wrong = token_store.WaveletMatrix(shard.matrix.alphabet, shard.matrix.n, shard.matrix.bits, broken)
+    assert not np.array_equal(wrong.access(np.arange(len(whole))), whole)
+
+
 def test_tokens_equal_the_library_and_offsets_run_on(docs, odd, empty):
     from tokenizers import Tokenizer
 
@@ -450,6 +535,17 @@ def test_word_by_word_ids_are_those_of_whole_texts():
     assert [p.tolist() for p in parts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+# ----- the session
+
+
+def test_operators_leave_the_session_as_it_is(spark, docs):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for f in (simhash.components_of_documents, suffix_dedup.deduplicated_documents, langid.language_of_documents, lambda d: token_store.tokens_of_documents(d, BPE), media.media_of_documents):
+        f(docs)
+        assert [spark.conf.get(n) for n in names] == before
+
+
 # ----- 7 mixing
 
 
@@ -543,6 +639,13 @@ def test_media_round_trip(docs, odd, empty):
         for r in out:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) in want[r["doc_id"]]
             assert same.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
+        for r in rows(df):  # the feature ends in what is stored as PCM
+            p = media.payload_of(r["text"])[1]
+            codec = media.CODECS[zlib.crc32(p) % 3]
+            pcm = media.decode(codec, p).astype(int)
+            at = np.arange(len(pcm) // 4) * 4
+            feature = same[hashlib.sha256(p).hexdigest()][1]
+            assert feature.startswith(f"codec={codec};n={len(pcm)};") and feature.endswith(f";pcm={len(at)},{zlib.crc32(pcm[at].astype('<i2').tobytes()):x}")
     assert rows(media.media_of_documents(empty)) == []
     for codec in media.CODECS:
         assert media.unpack(media.pack(b"\x01\x02" * 288, codec)) == (codec, b"\x01\x02" * 288)
@@ -589,10 +692,10 @@ def test_estimates_are_unbiased_and_inside_their_bounds():
     rng = np.random.default_rng(10)
     x = embed_dedup.unit(rng.normal(size=(300, 64)))
     codes, factors = embed_dedup.binary_codes(x)
-    est, bound = embed_dedup.estimates(x, codes, factors)
-    true = x @ x.T
-    off = ~np.eye(300, dtype=bool)
-    assert abs((est - true)[off].mean()) < 0.005 and (np.abs(est - true) <= bound).all()
+    a, b = np.nonzero(~np.eye(300, dtype=bool))
+    est, bound = embed_dedup.pair_estimates(embed_dedup.quantised(x), codes, factors, 64, a, b)
+    true = (x @ x.T)[a, b]
+    assert abs((est - true).mean()) < 0.005 and (np.abs(est - true) <= bound).all()
 
 
 # ----- 10 SentencePiece
