@@ -7,11 +7,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LITERAL_SITES = 64
+
+
 def nearest_site(peaks: DataFrame, sites: list[tuple[float, float]], max_distance: float) -> DataFrame:
     """Peaks with the index of their nearest site, if nearer than max_distance; the first site wins a tie.
 
-    The sites are a literal list (the spots of one averaged pattern), searched inside the row.
+    The sites are a literal list (the spots of one averaged pattern), searched inside
+    the row: up to LITERAL_SITES in generated code, more by a function over the list.
     """
+    if 1 < len(sites) <= LITERAL_SITES:
+        each = [F.struct(((F.col("qx") - float(x)) ** 2 + (F.col("qy") - float(y)) ** 2).alias("d2"), F.lit(k).cast("long").alias("label")) for k, (x, y) in enumerate(sites)]
+        found = peaks.withColumn("__b", F.least(*each)).where(F.col("__b.d2") < max_distance**2)
+        return found.withColumn("label", F.col("__b.label")).drop("__b")
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for k, (x, y) in enumerate(sites)])
     d2 = lambda s: (F.col("qx") - s["x"]) ** 2 + (F.col("qy") - s["y"]) ** 2
     best = F.array_min(F.transform(table, lambda s: F.struct(d2(s).alias("d2"), s["k"].cast("long").alias("label"))))

@@ -13,21 +13,22 @@ def orientation_histogram(peaks: DataFrame, center: tuple[float, float], ranges:
     """Intensity by (range, x, y, theta bin), shared linearly in x, y and angle (modulo 180 degrees).
 
     Radial ranges are half-open and a literal list; a peak counts in each range that holds it.
+    Peaks are summed by position and angle first; only those sums are shared in x and y.
     """
     n = int(round(180 / theta_step))
     dx, dy = F.col("qx") - center[0], F.col("qy") - center[1]
     r, t = F.sqrt(dx * dx + dy * dy), (F.degrees(F.atan2(dy, dx)) + offset) / theta_step
     table = F.array(*[F.struct(F.lit(k).cast("long").alias("range"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, (a, b) in enumerate(ranges)])
     s = peaks.select("rx", "ry", "intensity", r.alias("r"), t.alias("t"), F.explode(F.filter(table, lambda g: (r >= g["a"]) & (r < g["b"]))).alias("g"))
+    low = F.floor("t")
+    corners = F.array(*[F.struct(F.pmod(low + c, F.lit(n)).alias("theta"), (F.col("intensity") * (F.col("t") - low if c else 1 - F.col("t") + low)).alias("w")) for c in (0, 1)])
+    s = s.select("rx", "ry", F.col("g.range").alias("range"), F.explode(corners).alias("c")).where("c.w != 0")
+    s = s.groupBy("range", "rx", "ry", F.col("c.theta").alias("theta")).agg(F.sum("c.w").alias("w"))
     x, y = (F.col("rx") + 0.5) * upsample - 0.5, (F.col("ry") + 0.5) * upsample - 0.5
-    axes = [(F.floor(c), c - F.floor(c)) for c in (x, y, F.col("t"))]
-    parts = F.array(*[
-        F.struct((axes[0][0] + a).alias("x"), (axes[1][0] + b).alias("y"), F.pmod(axes[2][0] + c, F.lit(n)).alias("theta"),
-                 (F.col("intensity") * (axes[0][1] if a else 1 - axes[0][1]) * (axes[1][1] if b else 1 - axes[1][1]) * (axes[2][1] if c else 1 - axes[2][1])).alias("w"))
-        for a in (0, 1) for b in (0, 1) for c in (0, 1)
-    ])
-    out = s.select(F.col("g.range").alias("range"), F.explode(parts).alias("c")).select("range", "c.*").where("w != 0")
-    return out.groupBy("range", "x", "y", "theta").agg(F.sum("w").alias("value"))
+    (i, u), (j, v) = ((F.floor(c), c - F.floor(c)) for c in (x, y))
+    parts = F.array(*[F.struct((i + a).alias("x"), (j + b).alias("y"), (F.col("w") * (u if a else 1 - u) * (v if b else 1 - v)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    out = s.select("range", "theta", F.explode(F.filter(parts, lambda p: p["w"] != 0)).alias("p"))
+    return out.groupBy("range", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "theta").agg(F.sum("p.w").alias("value"))
 
 
 def orientation_correlation(hist: np.ndarray, radius: int) -> np.ndarray:

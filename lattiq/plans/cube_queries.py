@@ -126,10 +126,10 @@ select t.rx, t.ry, t.qx, t.qy, round(value, 6) as value from t semi join p on t.
         lambda s, d: (lambda p: p.groupBy("rx", "ry", F.expr("qx div 2").alias("qx"), F.expr("qy div 2").alias("qy")).agg(C.wrapped(F.sum((F.col("i") * 100000).cast("long"))).alias("i")))(pixels(frames(s, d))),
         f"with {PIXELS_SQL} select rx, ry, qx // 2 as qx, qy // 2 as qy, (sum(trunc(i * 100000)::bigint) % 65536)::bigint as i from p group by all",
     ),
-    "bin_r": (_scan_pixels(lambda p, nx, ny: C.bin_axes(p, "rx", "ry", 2, nx, ny)), f"with {PIXELS_SQL} select rx // 2 as rx, ry // 2 as ry, qx, qy, round(sum(i), 6) as i from p where rx < 20 and ry < 24 group by all"),
+    "bin_r": (_scan_pixels(lambda p, nx, ny: C.bin_axes(p, "rx", "ry", 2, nx, ny)), f"with {PIXELS_SQL} select rx // 2 as rx, ry // 2 as ry, qx, qy, round(sum(i), 6) as i from p where rx < (select (max(rx) + 1) // 2 * 2 from p) and ry < (select (max(ry) + 1) // 2 * 2 from p) group by all"),
     "crop_q": (_pixels(lambda p: C.crop(p, "qx", "qy", 1, 6, 2, 8)), f"with {PIXELS_SQL} select rx, ry, qx - 1 as qx, qy - 2 as qy, round(i, 6) as i from p where qx >= 1 and qx < 6 and qy >= 2 and qy < 8"),
     "crop_r": (_pixels(lambda p: C.crop(p, "rx", "ry", 2, 9, 5, 20)), f"with {PIXELS_SQL} select rx - 2 as rx, ry - 5 as ry, qx, qy, round(i, 6) as i from p where rx >= 2 and rx < 9 and ry >= 5 and ry < 20"),
-    "thin_r": (_scan_pixels(lambda p, nx, ny: C.thin_r(p, 3, nx, ny)), f"with {PIXELS_SQL} select rx // 3 as rx, ry // 3 as ry, qx, qy, round(i, 6) as i from p where rx % 3 = 0 and ry % 3 = 0 and rx < 18 and ry < 24"),
+    "thin_r": (_scan_pixels(lambda p, nx, ny: C.thin_r(p, 3, nx, ny)), f"with {PIXELS_SQL} select rx // 3 as rx, ry // 3 as ry, qx, qy, round(i, 6) as i from p where rx % 3 = 0 and ry % 3 = 0 and rx < (select (max(rx) + 1) // 3 * 3 from p) and ry < (select (max(ry) + 1) // 3 * 3 from p)"),
     "pad_q": (
         lambda s, d: C.pad_q(frames(s, d), (11, 12)).select("rx", "ry", "qx", "qy", rounded("i").alias("i")),
         f"""with {PIXELS_SQL}, r as (select distinct rx, ry from p), g as (select x.x as qx, y.y as qy from range(11) as x(x), range(12) as y(y))

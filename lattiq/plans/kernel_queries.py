@@ -95,9 +95,11 @@ def _pca(s, d):
 
 
 def _gmm(s, d):
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    f = _vectors(s, d).select("rx", "ry", array_to_vector(F.slice("data", 28, 4)).alias("features"))
+    whole = _vectors(s, d).select("rx", "ry", array_to_vector("data").alias("whole"))
+    f = PCA(k=4, inputCol="whole", outputCol="features").fit(whole).transform(whole).drop("whole")
     return L.gaussian_mixture(f, range(2, 4)).transform(f).select("rx", "ry", F.col("prediction").cast("long").alias("label"))
 
 

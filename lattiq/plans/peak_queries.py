@@ -272,7 +272,7 @@ select k.rx, k.ry, k.qx, k.qy, round(i, 6) as i from k left join n on k.rx = n.r
         f"with {COUNTED_SQL}, s as (select qx, qy, sum(intensity) as i from c group by qx, qy) select x as qx, y as qy, round(coalesce(i, 0), 4) as i from range(64) as x(x) cross join range(64) as y(y) left join s on x = qx and y = qy",
     ),
     "pixels_off_peaks": (
-        lambda s, d: C.pixels_off_peaks(P.brightest(counted(s, d), 3).select(*KEYS).distinct().crossJoin(F.broadcast(C.grid(s, 8, 8).select((F.col("qx") * 8).alias("qx"), (F.col("qy") * 8).alias("qy")))), counted(s, d), 4.0).select("rx", "ry", "qx", "qy"),
+        lambda s, d: C.pixels_off_peaks(counted(s, d).select(*KEYS).distinct().crossJoin(F.broadcast(C.grid(s, 8, 8).select((F.col("qx") * 8).alias("qx"), (F.col("qy") * 8).alias("qy")))), counted(s, d), 4.0).select("rx", "ry", "qx", "qy"),
         f"with {COUNTED_SQL}, g as (select rx, ry, x * 8 as qx, y * 8 as qy from (select distinct rx, ry from c), range(8) as x(x), range(8) as y(y)) select g.* from g where not exists (select 1 from c where c.rx = g.rx and c.ry = g.ry and (g.qx - c.qx) ** 2 + (g.qy - c.qy) ** 2 <= 16)",
     ),
     "ellipse_convert": (

@@ -98,15 +98,11 @@ j as (select b.*, k, (qx - x) ** 2 + (qy - y) ** 2 as d2 from b join si on (qx -
 lb as (select rx, ry, intensity, k::bigint as label from j)"""
 
 
-def _bright(s, d):
-    return peaks(s, d).where("intensity > 60")
-
-
 def _labels(s, d):
-    return L.label_sets(L.nearest_site(_bright(s, d), SITES, 2.03))
+    return L.label_sets(L.nearest_site(peaks(s, d), SITES, 2.03))
 
 
-LABELS_SQL = f"{LABEL_SQL}, ls as (select distinct rx, ry, label from lb where intensity > 60)"
+LABELS_SQL = f"{LABEL_SQL}, ls as (select distinct rx, ry, label from lb)"
 FEATURE_SQL = f"""{PEAKS_SQL}, ft as (select rx, ry, (least(floor(qx * 4 / 64), 3) * 4 + least(floor(qy * 4 / 64), 3))::bigint as feature, sum(intensity) as value
 from b where qx >= 0 and qy >= 0 and qx < 64 and qy < 64 group by all)"""
 
@@ -225,8 +221,8 @@ select a.h, a.k, a.l, b.h as h1, b.k as k1, b.l as l1, round(a.qx + cos(0.1::dou
     ),
     "voronoi_labels": (lambda s, d: _labels(s, d), f"with {LABELS_SQL} select rx, ry, label from ls"),
     "label_matrix": (
-        lambda s, d: _r(L.label_matrix(L.nearest_site(_bright(s, d), SITES, 2.03), True), ("rx", "ry", "label"), "x"),
-        f"with {LABEL_SQL} select rx, ry, label, round(max(intensity), 6) as x from lb where intensity > 60 group by rx, ry, label",
+        lambda s, d: _r(L.label_matrix(L.nearest_site(peaks(s, d), SITES, 2.03), True), ("rx", "ry", "label"), "x"),
+        f"with {LABEL_SQL} select rx, ry, label, round(max(intensity), 6) as x from lb group by rx, ry, label",
     ),
     "cooccurrence2": (lambda s, d: L.cooccurrence(_labels(s, d), len(SITES)), f"with {LABELS_SQL} select x.label as a, y.label as b, count(*) as n from ls x join ls y on x.rx = y.rx and x.ry = y.ry and x.label < y.label group by 1, 2"),
     "initial_classes": (lambda s, d: s.createDataFrame([(k, sorted(c)) for k, c in enumerate(L.initial_classes(_labels(s, d), len(SITES), 0.75, 4))], "class int, labels array<int>"), None),
