@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-LITERAL_SITES = 64
-
-
 def nearest_site(peaks: DataFrame, sites: list[tuple[float, float]], max_distance: float) -> DataFrame:
     """Peaks with the index of their nearest site, if nearer than max_distance; the first site wins a tie.
 
-    The sites are a literal list (the spots of one averaged pattern), searched inside
-    the row: up to LITERAL_SITES in generated code, more by a function over the list.
+    The sites are a literal list (the spots of one averaged pattern).  A peak looks up
+    its cell in a table of the sites near each cell, nine rows a site, and compares
+    only those.
     """
-    if 1 < len(sites) <= LITERAL_SITES:
-        each = [F.struct(((F.col("qx") - float(x)) ** 2 + (F.col("qy") - float(y)) ** 2).alias("d2"), F.lit(k).cast("long").alias("label")) for k, (x, y) in enumerate(sites)]
-        found = peaks.withColumn("__b", F.least(*each)).where(F.col("__b.d2") < max_distance**2)
-        return found.withColumn("label", F.col("__b.label")).drop("__b")
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for k, (x, y) in enumerate(sites)])
+    edge, cells = max_distance * (1 + 1e-9), {}
+    for k, (x, y) in enumerate(sites):
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                cells.setdefault((math.floor(x / edge) + a, math.floor(y / edge) + b), []).append((k, float(x), float(y)))
+    table = peaks.sparkSession.createDataFrame([(i, j, near) for (i, j), near in cells.items()], "__i long, __j long, __near array<struct<k: long, x: double, y: double>>")
+    met = peaks.join(F.broadcast(table), (F.floor(F.col("qx") / edge) == F.col("__i")) & (F.floor(F.col("qy") / edge) == F.col("__j")))
     d2 = lambda s: (F.col("qx") - s["x"]) ** 2 + (F.col("qy") - s["y"]) ** 2
-    best = F.array_min(F.transform(table, lambda s: F.struct(d2(s).alias("d2"), s["k"].cast("long").alias("label"))))
-    return peaks.withColumn("__b", best).where(F.col("__b.d2") < max_distance**2).withColumn("label", F.col("__b.label")).drop("__b")
+    best = F.array_min(F.transform("__near", lambda s: F.struct(d2(s).alias("d2"), s["k"].alias("label"))))
+    return met.withColumn("__b", best).where(F.col("__b.d2") < max_distance**2).withColumn("label", F.col("__b.label")).drop("__b", "__i", "__j", "__near")
 
 
 def label_sets(labelled: DataFrame) -> DataFrame:
