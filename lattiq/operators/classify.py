@@ -6,8 +6,11 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattiq.operators.quantiles import grouped_quantiles
+
 
 def nearest_site(peaks: DataFrame, sites: list[tuple[float, float]], max_distance: float) -> DataFrame:
     """Peaks with the index of their nearest site, if nearer than max_distance; the first site wins a tie.
@@ -105,7 +108,7 @@ def scale_features(f: DataFrame, how: str) -> DataFrame:
         stats = f.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         out = F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     elif how == "robust":
-        stats = f.groupBy("feature").agg(F.median("value").alias("mid"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"))
+        stats = grouped_quantiles(f, ["feature"], v, {"low": 0.25, "mid": 0.5, "high": 0.75}).select("feature", "mid", (F.col("high") - F.col("low")).alias("iqr"))
         out = (v - F.col("mid")) / F.when(F.col("iqr") != 0, F.col("iqr")).otherwise(1.0)
     elif how == "positive":
         stats = f.groupBy("feature").agg(F.min("value").alias("lo"))
@@ -115,6 +118,66 @@ def scale_features(f: DataFrame, how: str) -> DataFrame:
     return f.join(stats, "feature").select("rx", "ry", "feature", out.alias("value"))
 
 
+def feature_medians(f: DataFrame) -> DataFrame:
+    return grouped_quantiles(f, ["feature"], F.col("value"), {"value": 0.5})
+
+
+def concatenate_features(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Two long feature tables side by side: b's features follow a's ``width``."""
+    return a.select("rx", "ry", "feature", "value").unionByName(b.select("rx", "ry", (F.col("feature") + width).alias("feature"), "value"))
+
+
+def delete_features(f: DataFrame, gone: list[int]) -> DataFrame:
+    """Without the features named; those behind move up."""
+    before = sum([F.when(F.col("feature") > k, 1).otherwise(0) for k in sorted(set(gone))], F.lit(0))
+    return f.where(~F.col("feature").isin(gone) if gone else F.lit(True)).withColumn("feature", F.col("feature") - before)
+
+
+# ----- candidate classes: spots(feature, class, w) and places(rx, ry, class, h), entries of 0 left out
+
+
+def merge_classes(spots: DataFrame, places: DataFrame, i: int, j: int) -> tuple[DataFrame, DataFrame]:
+    """Class j joins class i < j: places add up, spots are averaged by the classes' totals over the places; later classes move up."""
+    total = F.sum("h").alias("__t")
+    both = F.col("class").isin(i, j)
+    weights = places.where(both).groupBy("class").agg(total)  # two rows
+    whole = F.sum("__t").over(W.partitionBy())
+    shares = weights.select("class", (F.col("__t") / whole).alias("__share"))
+    to = F.when(F.col("class") == j, i).when(F.col("class") > j, F.col("class") - 1).otherwise(F.col("class")).cast("long")
+    w = spots.join(F.broadcast(shares), "class", "left").select("feature", to.alias("class"), (F.col("w") * F.coalesce("__share", F.lit(1.0))).alias("w"))
+    return w.groupBy("feature", "class").agg(F.sum("w").alias("w")), places.select("rx", "ry", to.alias("class"), "h").groupBy("rx", "ry", "class").agg(F.sum("h").alias("h"))
+
+
+def remove_class(spots: DataFrame, places: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
+    up = F.when(F.col("class") > i, F.col("class") - 1).otherwise(F.col("class")).cast("long")
+    return tuple(t.where(F.col("class") != i).withColumn("class", up) for t in (spots, places))
+
+
+def _correlations(table: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """a, b, cc: correlation over n places (or spots) of each pair of classes that meet, from moments.
+
+    Pairs are made inside a place's row, as many as its classes allow.
+    """
+    moments = table.groupBy("class").agg(F.sum(value).alias("s"), F.sum(F.col(value) ** 2).alias("q"))
+    sets = table.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("class", F.col(value).alias("v")))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b"), (x["v"] * y["v"]).alias("p")))))
+    met = sets.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("p.p").alias("p"))
+    a, b = (moments.select(*[F.col(c).alias(f"{c}{x}") for c in ("class", "s", "q")]) for x in "ab")
+    spread = lambda x: F.sqrt(F.col(f"q{x}") - F.col(f"s{x}") ** 2 / n)
+    return met.join(a, F.col("a") == F.col("classa")).join(b, F.col("b") == F.col("classb")).select("a", "b", ((F.col("p") - F.col("sa") * F.col("sb") / n) / (spread("a") * spread("b"))).alias("cc"))
+
+
+def merge_candidates(spots: DataFrame, places: DataFrame, n_features: int, n_places: int, least_spots: float = 0.1, least_places: float = 0.1) -> DataFrame:
+    """Pairs of classes whose spots and whose places correlate above both limits, with the product as score.
+
+    Both limits are 0 or more, so classes that share nothing are no candidates.
+    """
+    w = _correlations(spots, ["feature"], "w", n_features).withColumnRenamed("cc", "cc_w")
+    h = _correlations(places, ["rx", "ry"], "h", n_places).withColumnRenamed("cc", "cc_h")
+    both = w.join(h, ["a", "b"]).where((F.col("cc_w") > least_spots) & (F.col("cc_h") > least_places))
+    return both.withColumn("score", F.col("cc_w") * F.col("cc_h"))
+
+
 def pca(vectors: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, components (k x d) and explained variances, from one aggregate of second moments.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattiq.model import CubeMeta, pixels
+from lattiq.operators.quantiles import grouped_quantiles
 
 Mask = Callable[[Column, Column], Column]  # (qx, qy) -> boolean or weight
 
@@ -117,7 +118,14 @@ def virtual_image_shifted(cube: DataFrame, mask: Mask, dx: Column, dy: Column, m
 
 # ----- virtual diffraction: partial aggregates by detector pixel
 
-METHODS = {"mean": F.avg, "max": F.max, "median": F.median, "sum": F.sum}
+METHODS = {"mean": F.avg, "max": F.max, "sum": F.sum}
+
+
+def _reduced(p: DataFrame, method: str, value: Column) -> DataFrame:
+    """One value for each detector pixel; a median sorts distinct values, since a group is a whole scan."""
+    if method == "median":
+        return grouped_quantiles(p, ["qx", "qy"], value, {"value": 0.5})
+    return p.groupBy("qx", "qy").agg(METHODS[method](value).alias("value"))
 
 
 def virtual_diffraction(cube: DataFrame, method: str = "mean", where: Column | None = None, weight: Column | None = None, meta: CubeMeta = CubeMeta()) -> DataFrame:
@@ -128,19 +136,20 @@ def virtual_diffraction(cube: DataFrame, method: str = "mean", where: Column | N
     """
     used = cube if where is None else cube.where(where)
     if weight is None:
-        return pixels(used, meta).groupBy("qx", "qy").agg(METHODS[method]("i").alias("value"))
+        return _reduced(pixels(used, meta), method, F.col("i"))
     p = pixels(used.withColumn("__w", weight.cast("double")), meta, ("__w",))
     wi = F.col("i") * F.col("__w")
-    out = F.sum(wi) / F.sum("__w") if method == "mean" else METHODS[method](wi)
-    return p.groupBy("qx", "qy").agg(out.alias("value"))
+    if method == "mean":
+        return p.groupBy("qx", "qy").agg((F.sum(wi) / F.sum("__w")).alias("value"))
+    return _reduced(p, method, wi)
 
 
 def virtual_diffraction_shifted(cube: DataFrame, dx: Column, dy: Column, method: str = "mean", meta: CubeMeta = CubeMeta()) -> DataFrame:
     """Patterns rolled by a whole shift for each position; a maximum is at least 0."""
     p = pixels(cube.withColumn("__x", F.rint(dx).cast("long")).withColumn("__y", F.rint(dy).cast("long")), meta, ("__x", "__y"))
     p = p.select(F.pmod(F.col("qx") + F.col("__x"), F.lit(meta.q_nx)).alias("qx"), F.pmod(F.col("qy") + F.col("__y"), F.lit(meta.q_ny)).alias("qy"), "i")
-    out = F.greatest(F.max("i"), F.lit(0.0)) if method == "max" else METHODS[method]("i")
-    return p.groupBy("qx", "qy").agg(out.alias("value"))
+    out = _reduced(p, method, F.col("i"))
+    return out.withColumn("value", F.greatest("value", F.lit(0.0))) if method == "max" else out
 
 
 def local_average(cube: DataFrame, meta: CubeMeta = CubeMeta()) -> DataFrame:
@@ -351,6 +360,12 @@ def median_replace(cube: DataFrame, bad: list[tuple[int, int]], meta: CubeMeta =
     return cube.withColumn("data", data)
 
 
+def filter_hot_pixels(cube: DataFrame, threshold: float, k: int = 1, meta: CubeMeta = CubeMeta()) -> DataFrame:
+    """Frames with the hot pixels of their mean pattern (at most the detector's number) replaced by local medians."""
+    hot = hot_pixels(virtual_diffraction(cube, meta=meta), threshold, k, meta).where("hot").select("qx", "qy").collect()
+    return median_replace(cube, sorted((int(r["qx"]), int(r["qy"])) for r in hot), meta)
+
+
 def shift_bilinear(cube: DataFrame, dx: float, dy: float, meta: CubeMeta = CubeMeta()) -> DataFrame:
     """Every pattern shifted by a fraction of pixels, periodic, by four weighted rolls inside the row."""
     lx, ly = math.floor(dx), math.floor(dy)

@@ -292,3 +292,49 @@ def pixel_size_from_indexed(peaks: DataFrame, a: float, by: list[str]) -> DataFr
     d2 = F.col("h") ** 2 + F.col("k") ** 2 + F.col("l") ** 2
     slope = F.sum(F.col("q") * F.sqrt(d2)) / F.sum(d2)
     return peaks.groupBy(*by).agg((1 / (slope * a)).alias("dq"))
+
+
+def maxima_1d(profile: DataFrame, by: list[str], index: str, value: str = "value", least_relative: float = 0.0, to: int = 0) -> DataFrame:
+    """Local maxima of profiles that wrap at their ends, with their rank from 0, brightest first.
+
+    A maximum is above its next value and at least its previous one.  Maxima not
+    brighter than a share of the ``to``-th brightest go.  A profile is one row for
+    each index of a literal axis.
+    """
+    order = W.partitionBy(*by).orderBy(index)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = F.coalesce(F.lead(value).over(order), F.first(value).over(whole))
+    before = F.coalesce(F.lag(value).over(order), F.last(value).over(whole))
+    found = profile.withColumn("__after", after).withColumn("__before", before).where((F.col(value) > F.col("__after")) & (F.col(value) >= F.col("__before"))).drop("__after", "__before")
+    ranks = W.partitionBy(*by).orderBy(F.desc(value), F.desc(index))
+    ranked = found.withColumn("rank", (F.row_number().over(ranks) - 1).cast("long"))
+    if least_relative:
+        ref = F.max(F.when(F.col("rank") == to, F.col(value))).over(W.partitionBy(*by))
+        ranked = ranked.withColumn("__ref", ref).where(F.col(value) > F.col("__ref") * least_relative).drop("__ref")
+    return ranked
+
+
+def fit_affine(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The least-squares map (x, y) -> (u, v) of each group: u = a x + b y + c, v = d x + e y + f.
+
+    One aggregate of centred moments; groups whose points lie on a line give none.
+    """
+    fits = pairs.groupBy(*by).agg(
+        *[F.avg(c).alias(f"m{c}") for c in "xyuv"],
+        F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"),
+        *[F.covar_pop(p, q).alias(f"{p}{q}") for p in "xy" for q in "uv"],
+    )
+    fits = fits.withColumn("det", F.col("xx") * F.col("yy") - F.col("xy") ** 2).where(F.col("det") > 1e-12 * F.col("xx") * F.col("yy"))
+    out = fits
+    for first, second, shift, q in (("a", "b", "c", "u"), ("d", "e", "f", "v")):
+        out = out.withColumn(first, (F.col(f"x{q}") * F.col("yy") - F.col(f"y{q}") * F.col("xy")) / F.col("det"))
+        out = out.withColumn(second, (F.col(f"y{q}") * F.col("xx") - F.col(f"x{q}") * F.col("xy")) / F.col("det"))
+        out = out.withColumn(shift, F.col(f"m{q}") - F.col(first) * F.col("mx") - F.col(second) * F.col("my"))
+    return out.select(*by, *"abcdef")
+
+
+def composed_threshold(peaks: DataFrame, share: float = 0.0, to: int = 0, spacing: float = 0.0, most: int | None = None) -> DataFrame:
+    """A relative threshold, then greedy thinning, then the brightest of each pattern; what is 0 or None is left out."""
+    out = relative_threshold(peaks, share, to) if share else peaks
+    out = min_spacing(out, spacing) if spacing else out
+    return out if most is None else brightest(out, most)

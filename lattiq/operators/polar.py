@@ -69,9 +69,41 @@ def polar_data(p: DataFrame, origin, spec: PolarSpec, threshold: float = 0.1, **
     return s.withColumn("value", F.when(F.col("norm") >= threshold, F.col("value") / F.col("norm"))).drop("norm")
 
 
+def polar_view(p: DataFrame, origin, spec: PolarSpec, give: str = "masked", threshold: float = 0.1, power: float | None = None, **options) -> DataFrame:
+    """Polar image in the form asked for, over every bin that a pixel shares.
+
+    A bin is masked where its share of pixels, times its annular step in radians,
+    is under the threshold.  ``masked`` and ``nan`` leave its value null, ``zeros``
+    makes it 0; ``all`` and ``all_zeros`` add norm, density and mask.  ``power``
+    scales by the radius relative to the last bin's.
+    """
+    s = polar_scatter(p, origin, spec, **options).withColumn("density", F.col("norm") * spec.annular_step)
+    last = spec.qmin + (spec.n_radial - 1) * spec.qstep
+    scale = F.lit(1.0) if power is None else F.pow((spec.qmin + F.col("r") * spec.qstep) / last, F.lit(float(power)))
+    s = s.withColumn("mask", F.col("density") < threshold)
+    value = F.when(~F.col("mask"), F.col("value") / F.col("norm") * scale)
+    if give in ("zeros", "all_zeros"):
+        value = value.otherwise(0.0)
+    elif give not in ("masked", "nan", "all"):
+        raise ValueError(give)
+    s = s.withColumn("value", value)
+    return s if give.startswith("all") else s.drop("norm", "density", "mask")
+
+
 def polar_gather(p: DataFrame, origin: tuple[float, float], spec: PolarSpec, meta: CubeMeta = CubeMeta()) -> DataFrame:
-    """Polar image sampled bilinearly at bin centres: one broadcast join with the (bounded) table of weights."""
-    spark = p.sparkSession
+    """Polar image sampled bilinearly at bin centres: one join with the table of weights."""
+    weights = gather_weights(p.sparkSession, origin, spec, meta)
+    return p.join(F.broadcast(weights), ["qx", "qy"]).groupBy("rx", "ry", "t", "r").agg(F.sum(F.col("i") * F.col("w")).alias("value"))
+
+
+def radial_integral(p: DataFrame, origin: tuple[float, float], spec: PolarSpec, meta: CubeMeta = CubeMeta()) -> DataFrame:
+    """rx, ry, r, value: the sum over the angle of polar_gather; a pixel's weights are summed before they meet the patterns."""
+    weights = gather_weights(p.sparkSession, origin, spec, meta).groupBy("qx", "qy", "r").agg(F.sum("w").alias("w"))
+    return p.join(F.broadcast(weights), ["qx", "qy"]).groupBy("rx", "ry", "r").agg(F.sum(F.col("i") * F.col("w")).alias("value"))
+
+
+def gather_weights(spark, origin: tuple[float, float], spec: PolarSpec, meta: CubeMeta = CubeMeta()) -> DataFrame:
+    """r, t, qx, qy, w: the four pixels about each bin's centre, four rows for each bin of the literal grid."""
     g = spark.range(spec.n_radial * spec.n_annular).select(F.expr(f"id div {spec.n_annular}").alias("r"), (F.col("id") % spec.n_annular).alias("t"))
     rr, tt = spec.qmin + (F.col("r") + 0.5) * spec.qstep, (F.col("t") + 0.5) * spec.annular_step
     a, b, theta = spec.ellipse or (1.0, 1.0, 0.0)
@@ -82,8 +114,7 @@ def polar_gather(p: DataFrame, origin: tuple[float, float], spec: PolarSpec, met
     fx, fy = F.least(F.floor("x"), F.lit(meta.q_nx - 2)), F.least(F.floor("y"), F.lit(meta.q_ny - 2))
     dx, dy = F.col("x") - fx, F.col("y") - fy
     parts = [F.struct((fx + i).alias("qx"), (fy + j).alias("qy"), (wx * wy).alias("w")) for i, wx in ((0, 1 - dx), (1, dx)) for j, wy in ((0, 1 - dy), (1, dy))]
-    weights = g.select("r", "t", F.explode(F.array(*parts)).alias("c")).select("r", "t", "c.*")
-    return p.join(F.broadcast(weights), ["qx", "qy"]).groupBy("rx", "ry", "t", "r").agg(F.sum(F.col("i") * F.col("w")).alias("value"))
+    return g.select("r", "t", F.explode(F.array(*parts)).alias("c")).select("r", "t", "c.*")
 
 
 def radial_profile(polar: DataFrame, how: str = "mean") -> DataFrame:
@@ -106,14 +137,20 @@ def local_fluctuation(polar: DataFrame, use_median: bool = False) -> DataFrame:
 
 
 def annular_symmetry(polar: DataFrame, orders: int, n_annular: int) -> DataFrame:
-    """Power |sum d(t) exp(-2 pi i n t / N)|^2 / (N mean)^2 of each order n, which is the transform of the normalised angular autocorrelation; null bins count as the mean."""
-    mean = polar.groupBy("rx", "ry", "r").agg(F.avg("value").alias("m"))
+    """Power of each order in the normalised angular autocorrelation, less that of the bins that count.
+
+    The transform of a normalised autocorrelation is |sum v e|^2 / (sum v)^2 over
+    the bins that are not null; that of the bins themselves, |sum e|^2 / n^2, is what
+    a mask or a beam stop adds.  A shell of nulls gives no row.
+    """
     n = F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("order")
     angle = 2 * math.pi * F.col("order") * F.col("t") / n_annular
-    sums = polar.where("value is not null").select("rx", "ry", "r", "t", "value", n).groupBy("rx", "ry", "r", "order").agg(*[F.sum(F.col("value") * f(angle)).alias(a) for a, f in (("c", F.cos), ("s", F.sin))], *[F.sum(f(angle)).alias(a) for a, f in (("c0", F.cos), ("s0", F.sin))])
-    out = sums.join(mean, ["rx", "ry", "r"])
-    c, s = F.col("c") - F.col("m") * F.col("c0"), F.col("s") - F.col("m") * F.col("s0")
-    return out.select("rx", "ry", "r", F.col("order").cast("long").alias("order"), F.when(F.col("m") != 0, (c * c + s * s) / (n_annular * F.col("m")) ** 2).alias("power"))
+    seen = polar.where("value is not null").select("rx", "ry", "r", "t", "value", n)
+    moments = [F.sum(F.col("value") * f(angle)).alias(a) for a, f in (("c", F.cos), ("s", F.sin))] + [F.sum(f(angle)).alias(a) for a, f in (("c0", F.cos), ("s0", F.sin))]
+    sums = seen.groupBy("rx", "ry", "r", "order").agg(*moments, F.sum("value").alias("v"), F.count("*").alias("n"))
+    c, s, c0, s0, total = (F.col(x) for x in ("c", "s", "c0", "s0", "v"))
+    image = (c * c + s * s) / F.when(total != 0, total * total).otherwise(1.0)
+    return sums.select("rx", "ry", "r", F.col("order").cast("long").alias("order"), F.abs(image - (c0 * c0 + s0 * s0) / (F.col("n") * F.col("n"))).alias("power"))
 
 
 def radial_background(p: DataFrame, origin: tuple[float, float], qstep: float = 1.0, floor: float = 0.0) -> DataFrame:

@@ -133,3 +133,9 @@ def set_hkl(indexed: DataFrame, g1_hkl: tuple[int, int, int], g2_hkl: tuple[int,
     """Miller indices from lattice indices and those of the basis."""
     names = ("miller_h", "miller_k", "miller_l")
     return indexed.select("*", *[(F.col("h") * a + F.col("k") * b).alias(n) for n, a, b in zip(names, g1_hkl, g2_hkl)])
+
+
+def strain_map(peaks: DataFrame, origin: Vector, g1: Vector, g2: Vector, max_spacing: float, x_axis: Vector = (1.0, 0.0), flip_theta: bool = False, ref: DataFrame | None = None) -> DataFrame:
+    """From calibrated peaks to strain in given axes: indices, lattice fits, reference (their median, or a row given), strain, rotation."""
+    fit = fit_lattice(index_peaks(peaks, origin, g1, g2, max_spacing), error=False)
+    return rotate_strain(strain(fit, reference(fit) if ref is None else ref), x_axis, flip_theta)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cube_queries", "peak_queries", "polar_queries", "kernel_queries")
+MODULES = ("cube_queries", "peak_queries", "polar_queries", "composed_queries", "kernel_queries")
 
 
 def _all() -> dict:

@@ -155,10 +155,10 @@ select rx, ry, t, r, round(sum(i * w), 6) as value from p join w on p.qx = w.qx
     ),
     "annular_symmetry": (
         lambda s, d: _r(R.annular_symmetry(_polar(s, d), 6, 12), ("rx", "ry", "r", "order"), "power"),
-        f"""with {POLAR_SQL}, m as (select rx, ry, r, avg(value) as m from n group by rx, ry, r),
-o as (select n.rx, n.ry, n.r, k as "order", any_value(m) as m, sum((value - m) * cos(2 * pi() * k * t / 12)) as c, sum((value - m) * sin(2 * pi() * k * t / 12)) as s
-      from n join m on n.rx = m.rx and n.ry = m.ry and n.r = m.r, range(1, 7) as k(k) where value is not null group by all)
-select rx, ry, r, "order", round((c * c + s * s) / (12 * m) ** 2, 6) + 0 as power from o""",
+        f"""with {POLAR_SQL},
+o as (select rx, ry, r, k as "order", sum(value) as v, count(*) as m, sum(value * cos(2 * pi() * k * t / 12)) as c, sum(value * sin(2 * pi() * k * t / 12)) as s, sum(cos(2 * pi() * k * t / 12)) as c0, sum(sin(2 * pi() * k * t / 12)) as s0
+      from n, range(1, 7) as k(k) where value is not null group by all)
+select rx, ry, r, "order", round(abs((c * c + s * s) / v ** 2 - (c0 * c0 + s0 * s0) / m ** 2), 6) as power from o""",
     ),
     "radial_background": (
         lambda s, d: _r(R.radial_background(pixels(frames(s, d)), MID), ("rx", "ry", "r"), "background"),
