@@ -10,8 +10,8 @@ import numpy as np
 # ----- filters and resampling
 
 
-def gaussian_filter(a: np.ndarray, sigma: float, mode: str = "reflect", truncate: float = 4.0) -> np.ndarray:
-    """Separable Gaussian; modes reflect (edge repeated), nearest and wrap."""
+def gaussian_filter(a: np.ndarray, sigma: float, mode: str = "reflect", truncate: float = 4.0, axes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Separable Gaussian along all axes or those given; modes reflect (edge repeated), nearest and wrap."""
     if sigma <= 0:
         return a.astype(float)
     r = int(truncate * sigma + 0.5)
@@ -19,7 +19,7 @@ def gaussian_filter(a: np.ndarray, sigma: float, mode: str = "reflect", truncate
     w = np.exp(-0.5 * (x / sigma) ** 2)
     w /= w.sum()
     out = a.astype(float)
-    for axis in range(a.ndim):
+    for axis in range(a.ndim) if axes is None else axes:
         pad = [(0, 0)] * a.ndim
         pad[axis] = (r, r)
         wide = np.pad(out, pad, mode={"reflect": "symmetric", "nearest": "edge", "wrap": "wrap"}[mode])
@@ -174,18 +174,27 @@ def align(ref: np.ndarray, a: np.ndarray, factor: int = 4) -> tuple[float, float
     return (x + n / 2) % n - n / 2, (y + k / 2) % k - k / 2
 
 
-def maxima_2d(a: np.ndarray, subpixel: str = "pixel", factor: int = 16, sigma: float = 0, least: float = 0, least_relative: float = 0, relative_to: int = 0, spacing: float = 0, edge: int = 1, most: int = 0, transform: np.ndarray | None = None) -> np.ndarray:
+def local_maxima(a: np.ndarray, edge: int = 1) -> np.ndarray:
+    """Where a pattern, or each of a stack, is at least its four later neighbours and above its four earlier ones, off its border."""
+    edge = max(edge, 1)
+    n, m = a.shape[-2:]
+    if n <= 2 * edge or m <= 2 * edge:
+        return np.zeros(a.shape, bool)
+    at = lambda dx, dy: a[..., edge - dx : n - edge - dx, edge - dy : m - edge - dy]  # noqa: E731  the neighbour at (x - dx, y - dy)
+    mid = at(0, 0)
+    top = np.zeros(a.shape, bool)
+    top[..., edge : n - edge, edge : m - edge] = (mid >= at(-1, 0)) & (mid >= at(0, -1)) & (mid >= at(-1, -1)) & (mid >= at(1, -1)) & (mid > at(1, 0)) & (mid > at(0, 1)) & (mid > at(-1, 1)) & (mid > at(1, 1))
+    return top
+
+
+def maxima_2d(a: np.ndarray, subpixel: str = "pixel", factor: int = 16, sigma: float = 0, least: float = 0, least_relative: float = 0, relative_to: int = 0, spacing: float = 0, edge: int = 1, most: int = 0, transform: np.ndarray | None = None, top: np.ndarray | None = None) -> np.ndarray:
     """Rows (x, y, intensity) of the local maxima, brightest first.
 
     subpixel: 'pixel', 'poly' (parabola) or 'multicorr' (``transform``, the correlation's Fourier transform, upsampled).
+    ``top`` is the local maxima where they are known, as for a pattern of a stack.
     """
     a = gaussian_filter(a, sigma) if sigma else a
-    roll = lambda dx, dy: np.roll(a, (dx, dy), (0, 1))  # noqa: E731  the neighbour at (x - dx, y - dy)
-    top = (a >= roll(-1, 0)) & (a >= roll(0, -1)) & (a >= roll(-1, -1)) & (a >= roll(1, -1)) & (a > roll(1, 0)) & (a > roll(0, 1)) & (a > roll(-1, 1)) & (a > roll(1, 1))
-    edge = max(edge, 1)
-    inner = np.zeros_like(top)
-    inner[edge : a.shape[0] - edge, edge : a.shape[1] - edge] = True
-    x, y = np.nonzero(top & inner)
+    x, y = np.nonzero(local_maxima(a, edge) if top is None else top)
     v = a[x, y]
     order = np.lexsort((-y, -x, -v))
     x, y, v = x[order], y[order], v[order]
@@ -202,12 +211,12 @@ def maxima_2d(a: np.ndarray, subpixel: str = "pixel", factor: int = 16, sigma: f
     if most:
         x, y, v = x[:most], y[:most], v[:most]
     fx, fy = x.astype(float), y.astype(float)
-    if subpixel != "pixel":
-        for k in range(len(x)):
-            i, j = x[k], y[k]
-            fx[k] += _parabola(a[i - 1, j], a[i, j], a[i + 1, j])
-            fy[k] += _parabola(a[i, j - 1], a[i, j], a[i, j + 1])
-            if subpixel == "multicorr":
+    if subpixel != "pixel" and len(x):
+        for out, lo, hi in ((fx, a[x - 1, y], a[x + 1, y]), (fy, a[x, y - 1], a[x, y + 1])):
+            bend = lo - 2 * v + hi
+            out += np.where(bend == 0, 0.0, 0.5 * (lo - hi) / np.where(bend == 0, 1.0, bend))
+        if subpixel == "multicorr":
+            for k in range(len(x)):
                 fx[k], fy[k] = refine_peak(transform, factor, (fx[k], fy[k]))
     return np.column_stack([fx, fy, v])
 

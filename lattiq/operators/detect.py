@@ -16,34 +16,45 @@ from lattiq.functions import kernels as K
 from lattiq.model import CubeMeta
 
 
-def per_frame(cube: DataFrame, f: Callable[[np.ndarray], pd.DataFrame], schema: str, meta: CubeMeta = CubeMeta()) -> DataFrame:
-    """Apply a function of one pattern that gives rows; rx and ry are put before them."""
+#: Values of a stack of patterns that are transformed together: 16 MiB, whatever the pattern's size.
+STACK_VALUES = 1 << 21
+
+
+def per_stack(cube: DataFrame, f: Callable[[np.ndarray], list[np.ndarray]], schema: str, meta: CubeMeta = CubeMeta()) -> DataFrame:
+    """Apply a function of a stack of patterns that gives an array of rows for each; rx and ry are put before them."""
+    fields = [c.split() for c in schema.split(", ")]
+    step = max(1, STACK_VALUES // meta.q_n)
 
     def run(batches):
         for pdf in batches:
-            parts = []
-            for rx, ry, data in zip(pdf.rx, pdf.ry, pdf.data):
-                out = f(np.asarray(data, float).reshape(meta.q_nx, meta.q_ny))
-                out.insert(0, "ry", ry)
-                out.insert(0, "rx", rx)
-                parts.append(out)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            for k in range(0, len(pdf), step):
+                part = pdf.iloc[k : k + step]
+                found = f(np.stack(part.data.to_numpy()).astype(float).reshape(-1, meta.q_nx, meta.q_ny))
+                rows = np.concatenate([np.reshape(r, (-1, len(fields))) for r in found])
+                many = [len(r) if np.ndim(r) > 1 else 1 for r in found]
+                out = {"rx": np.repeat(part.rx.to_numpy(), many), "ry": np.repeat(part.ry.to_numpy(), many)}
+                yield pd.DataFrame({**out, **{name: rows[:, j].astype("int64" if kind == "long" else float) for j, (name, kind) in enumerate(fields)}})
 
     return cube.select("rx", "ry", "data").mapInPandas(run, f"rx long, ry long, {schema}")
 
 
+def per_frame(cube: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str, meta: CubeMeta = CubeMeta()) -> DataFrame:
+    """Apply a function of one pattern that gives a row, or an array of rows."""
+    return per_stack(cube, lambda stack: [f(a) for a in stack], schema, meta)
+
+
 def find_disks(cube: DataFrame, template: np.ndarray | None, meta: CubeMeta = CubeMeta(), power: float = 1.0, sigma_dp: float = 0.0, filter_function: Callable[[np.ndarray], np.ndarray] | None = None, **maxima) -> DataFrame:
     """Peaks (qx, qy, intensity) of each pattern's correlation with a template (or of the pattern itself).
 
     ``filter_function`` is applied to each pattern first; ``maxima`` goes to the
     search for maxima (subpixel, least, least_relative, spacing, edge, most, ...).
+    Patterns are filtered, transformed and searched a stack at a time.
     """
     shared = cube.sparkSession.sparkContext.broadcast(None if template is None else np.fft.fft2(template))
 
-    def find(a: np.ndarray) -> pd.DataFrame:
-        a = filter_function(a) if filter_function else a
-        a = K.gaussian_filter(a, sigma_dp) if sigma_dp else a
+    def find(a: np.ndarray) -> list[np.ndarray]:
+        a = np.stack([filter_function(x) for x in a]) if filter_function else a
+        a = K.gaussian_filter(a, sigma_dp, axes=(1, 2)) if sigma_dp else a
         m = None
         if shared.value is not None:
             m = np.fft.fft2(a) * np.conj(shared.value)
@@ -51,34 +62,39 @@ def find_disks(cube: DataFrame, template: np.ndarray | None, meta: CubeMeta = Cu
             a = np.maximum(np.fft.ifft2(m).real, 0)
         elif maxima.get("subpixel") == "multicorr":
             m = np.fft.fft2(a)
-        return pd.DataFrame(K.maxima_2d(a, transform=m, **maxima), columns=["qx", "qy", "intensity"])
+        options = dict(maxima)
+        a = K.gaussian_filter(a, options.pop("sigma", 0), axes=(1, 2))
+        tops = K.local_maxima(a, options.get("edge", 1))
+        return [K.maxima_2d(x, transform=None if m is None else m[k], top=tops[k], **options) for k, x in enumerate(a)]
 
-    return per_frame(cube, find, "qx double, qy double, intensity double", meta)
+    return per_stack(cube, find, "qx double, qy double, intensity double", meta)
 
 
 def origins(cube: DataFrame, radius: float, scale: float = 1.2, meta: CubeMeta = CubeMeta()) -> DataFrame:
-    """Brightest blurred pixel, then the centre of mass within scale * radius of it."""
+    """Brightest blurred pixel, then the centre of mass within scale * radius of it; a stack of patterns at a time."""
 
-    def find(a: np.ndarray) -> pd.DataFrame:
-        i, j = np.unravel_index(K.gaussian_filter(a, radius, "nearest").argmax(), a.shape)
-        x, y = np.indices(a.shape)
+    def find(a: np.ndarray) -> np.ndarray:
+        blurred = K.gaussian_filter(a, radius, "nearest", axes=(1, 2)).reshape(len(a), -1)
+        i, j = (v[:, None, None] for v in np.unravel_index(blurred.argmax(axis=1), a.shape[1:]))
+        x, y = np.indices(a.shape[1:])
         w = a * ((x - i) ** 2 + (y - j) ** 2 < (radius * scale) ** 2)
-        s = w.sum()
-        return pd.DataFrame({"qx0": [float((w * x).sum() / s) if s else float(i)], "qy0": [float((w * y).sum() / s) if s else float(j)]})
+        s = w.sum(axis=(1, 2))
+        safe = np.where(s == 0, 1.0, s)
+        return np.column_stack([np.where(s != 0, (w * q).sum(axis=(1, 2)) / safe, start.ravel()) for q, start in ((x, i), (y, j))])
 
-    return per_frame(cube, find, "qx0 double, qy0 double", meta)
+    return per_stack(cube, find, "qx0 double, qy0 double", meta)
 
 
 def origins_friedel(cube: DataFrame, meta: CubeMeta = CubeMeta(), factor: int = 4) -> DataFrame:
     """Half the position of the padded autoconvolution's maximum: the centre of inversion."""
 
-    def find(a: np.ndarray) -> pd.DataFrame:
+    def find(a: np.ndarray) -> np.ndarray:
         n, k = a.shape
         f = np.fft.fft2(np.pad(a, ((0, n), (0, k))))
         m = f * f
         c = np.fft.ifft2(m).real
         x, y = K.refine_peak(m, factor, tuple(float(v) for v in np.unravel_index(c.argmax(), c.shape)))
-        return pd.DataFrame({"qx0": [x / 2 % n], "qy0": [y / 2 % k]})
+        return np.array([x / 2 % n, y / 2 % k])
 
     return per_frame(cube, find, "qx0 double, qy0 double", meta)
 
@@ -192,8 +208,8 @@ def fit_pattern(a: np.ndarray, model: Model, start: dict[str, float] | None = No
 def fit_all(cube: DataFrame, model: Model, meta: CubeMeta = CubeMeta(), start: dict[str, float] | None = None, steps: int = 60) -> DataFrame:
     """Fitted parameters of each pattern with cost, evaluations and status."""
 
-    def fit(a: np.ndarray) -> pd.DataFrame:
+    def fit(a: np.ndarray) -> np.ndarray:
         p, cost, n, status = fit_pattern(a, model, start, steps)
-        return pd.DataFrame({**{k: [v] for k, v in zip(model.names, p)}, "cost": [cost], "nfev": [n], "status": [status]})
+        return np.array([*p, cost, n, status], float)
 
     return per_frame(cube, fit, ", ".join(f"{n} double" for n in model.names) + ", cost double, nfev long, status long", meta)

@@ -71,9 +71,9 @@ def fit_rings(cube: DataFrame, start: dict[str, float], meta: CubeMeta = CubeMet
     lower = [-np.inf, 0, 0.1, 0, 0.1, 0.1, -np.inf, -np.inf, 0.1, -1.5, 0.1]
     first = [start[n] for n in RING]
 
-    def fit(a: np.ndarray) -> pd.DataFrame:
+    def fit(a: np.ndarray) -> np.ndarray:
         p, cost, _, status = K.least_squares(lambda q: (ring_model(q, x, y) - a).ravel(), first, lower, None, steps)
-        return pd.DataFrame({**{n: [v] for n, v in zip(RING, p)}, "cost": [cost], "status": [status]})
+        return np.array([*p, cost, status], float)
 
     return per_frame(cube, fit, ", ".join(f"{n} double" for n in RING) + ", cost double, status long", meta)
 
