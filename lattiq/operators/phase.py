@@ -199,6 +199,21 @@ def _overlap(obj: np.ndarray, probe: np.ndarray, at: np.ndarray):
     return patches, ix, iy
 
 
+def flat_sums(*arrays: np.ndarray) -> pd.DataFrame:
+    """A partition's sums as rows (k, v), real parts before imaginary ones; what its patterns did not touch has no row."""
+    v = np.concatenate([p for a in arrays for p in ((a.real.ravel(), a.imag.ravel()) if np.iscomplexobj(a) else (np.ravel(a),))])
+    k = np.flatnonzero(v)
+    return pd.DataFrame({"k": k, "v": v[k]})
+
+
+def sum_vectors(frame: DataFrame, run, size: int) -> np.ndarray:
+    """The sum over all partitions of what ``run`` gives as flat_sums."""
+    rows = frame.mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(size)
+    out[rows.k.to_numpy()] = rows.v.to_numpy()
+    return out
+
+
 def ptychography(patterns: DataFrame, shape: tuple[int, int], probe: np.ndarray, obj: np.ndarray | None = None, iterations: int = 10, step: float = 0.5, alpha: float = 0.5, fix_probe: bool = False, positivity: bool = False) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Gradient descent on amplitudes, single slice, complex object.
 
@@ -229,11 +244,10 @@ def ptychography(patterns: DataFrame, shape: tuple[int, int], probe: np.ndarray,
                 np.add.at(w_o, (ix[:, :, None], iy[:, None, :]), np.broadcast_to(np.abs(p) ** 2, diff.shape))
                 up_p += (np.conj(patch) * diff).sum(axis=0)
                 w_p += (np.abs(patch) ** 2).sum(axis=0)
-            flat = np.concatenate([up_o.real.ravel(), up_o.imag.ravel(), w_o.ravel(), up_p.real.ravel(), up_p.imag.ravel(), w_p.ravel(), [err, total]])
-            yield pd.DataFrame({"k": np.arange(len(flat)), "v": flat})
+            yield flat_sums(up_o, w_o, up_p, w_p, np.array([err, total]))
 
-        rows = patterns.mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas().v.to_numpy()
         a, b = n_obj, n_probe
+        rows = sum_vectors(patterns, run, 3 * a + 3 * b + 2)
         up_o, w_o = (rows[:a] + 1j * rows[a : 2 * a]).reshape(obj.shape), rows[2 * a : 3 * a].reshape(obj.shape)
         rest = rows[3 * a :]
         up_p, w_p = (rest[:b] + 1j * rest[b : 2 * b]).reshape(probe.shape), rest[2 * b : 3 * b].reshape(probe.shape)

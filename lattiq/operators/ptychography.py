@@ -8,12 +8,11 @@ from one iteration to the next travel in the DataFrame of their position.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.functions import kernels as K
-from lattiq.operators.phase import _overlap, fresnel
+from lattiq.operators.phase import _overlap, flat_sums, fresnel, sum_vectors
 
 #: Weights (a, b, c) of the projection-set methods by their parameter.
 METHODS = {
@@ -24,15 +23,6 @@ METHODS = {
 }
 
 
-def _sum_vectors(frame: DataFrame, run) -> np.ndarray:
-    return frame.mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas().v.to_numpy()
-
-
-def _flat(*arrays) -> pd.DataFrame:
-    v = np.concatenate([p for a in arrays for p in ((a.real.ravel(), a.imag.ravel()) if np.iscomplexobj(a) else (np.ravel(a),))])
-    return pd.DataFrame({"k": np.arange(len(v)), "v": v})
-
-
 def _take(v: np.ndarray, shape: tuple, is_complex: bool) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.prod(shape))
     if is_complex:
@@ -76,9 +66,9 @@ def multislice(patterns: DataFrame, slices: int, shape: tuple[int, int], probe:
                         back = np.fft.ifft2(np.fft.fft2(back) * np.conj(propagator))
                 up_p += back.sum(axis=0)
                 w_p += (np.abs(patches[0]) ** 2).sum(axis=0)
-            yield _flat(up, w, up_p, w_p, np.array([err, total]))
+            yield flat_sums(up, w, up_p, w_p, np.array([err, total]))
 
-        v = _sum_vectors(patterns, run)
+        v = sum_vectors(patterns, run, 3 * obj.size + 3 * probe.size + 2)
         up, v = _take(v, obj.shape, True)
         w, v = _take(v, obj.shape, False)
         up_p, v = _take(v, probe.shape, True)
@@ -113,9 +103,9 @@ def mixed_state(patterns: DataFrame, shape: tuple[int, int], probes: np.ndarray,
                 np.add.at(w, (ix[:, :, None], iy[:, None, :]), np.broadcast_to((np.abs(p) ** 2).sum(axis=0), patch.shape))
                 up_p += (np.conj(patch)[:, None] * diff).sum(axis=0)
                 w_p += (np.abs(patch) ** 2).sum(axis=0)
-            yield _flat(up, w, up_p, w_p, np.array([err, total]))
+            yield flat_sums(up, w, up_p, w_p, np.array([err, total]))
 
-        v = _sum_vectors(patterns, run)
+        v = sum_vectors(patterns, run, 3 * obj.size + 2 * probes.size + probes[0].size + 2)
         up, v = _take(v, obj.shape, True)
         w, v = _take(v, obj.shape, False)
         up_p, v = _take(v, probes.shape, True)
@@ -167,9 +157,9 @@ def projection_sets(patterns: DataFrame, space, shape: tuple[int, int], probe: n
                 np.add.at(w, (ix[:, :, None], iy[:, None, :]), np.broadcast_to(np.abs(p) ** 2, psi.shape))
                 up_p += (np.conj(patch) * psi).sum(axis=0)
                 w_p += (np.abs(patch) ** 2).sum(axis=0)
-            yield _flat(up, w, up_p, w_p)
+            yield flat_sums(up, w, up_p, w_p)
 
-        v = _sum_vectors(frame.select("x", "y", "wave"), collect)
+        v = sum_vectors(frame.select("x", "y", "wave"), collect, 3 * obj.size + 3 * probe.size)
         up, v = _take(v, obj.shape, True)
         w, v = _take(v, obj.shape, False)
         up_p, v = _take(v, probe.shape, True)
