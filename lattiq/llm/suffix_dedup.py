@@ -49,8 +49,9 @@ from .pieces import runs
 WINDOW = 100
 GRAM = 24
 BUCKET_BYTES = 4 << 20
-FLUSH_BYTES = 12 << 20
-PART_BYTES = 4 << 20
+FLUSH_BYTES = 6 << 20
+PART_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 STRETCH_BYTES = 1 << 18
 #: Different pieces of a minimiser beyond which it is split; the sample that tells: its least bytes and share, and how many it names at most.
 HOT_PIECES, SAMPLE_BYTES, SAMPLE_SHARE, HOT_KEYS = 50_000, 32 << 20, 1 / 256, 1_000_000
@@ -356,6 +357,7 @@ def _blocks(batches, buckets: int, hot: tuple = ()):
             found.append((f + base[low], t + base[low], k, c))
             low = high
         first, last, key, content = (np.concatenate([f[k] for f in found]) for k in range(4))
+        found = None
         known = np.array([d[0] is not None for d in docs], np.uint8)
         doc = np.array([d[0] or 0 for d in docs], np.int64)
         mark = np.array([d[1] for d in docs], np.int64)
@@ -379,7 +381,7 @@ def _blocks(batches, buckets: int, hot: tuple = ()):
         order_p, order_s = np.argsort(to_piece, kind="stable"), np.argsort(to_span, kind="stable")
         sent, copies, sd, ss, se = sent[order_p], copies[order_p], sd[order_s], ss[order_s], se[order_s]
         targets = np.unique(np.concatenate([to_piece, to_span]))
-        ids, blobs = [], []
+        ids, blobs, packed = [], [], 0
         tp, tsn = to_piece[order_p], to_span[order_s]
         for b in targets.tolist():
             own = slice(np.searchsorted(tp, b), np.searchsorted(tp, b, side="right"))
@@ -390,7 +392,10 @@ def _blocks(batches, buckets: int, hot: tuple = ()):
             sections = [doc[used].astype("<i8"), mark[used].astype("<i8"), known[used], (key[x] >> U(32)).astype("<u4"), content[x].astype("<u8"), local[: len(x)].astype("<u4"), place[x].astype("<u4"), (last - first)[x].astype("u1"), local[len(x) :].astype("<u4"), ss[lo:hi].astype("<u4"), se[lo:hi].astype("<u4"), copies[own].astype("<u4")]
             ids.append(b)
             blobs.append(_pack(sections, text, press))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
+            packed += len(blobs[-1])
+            if packed > BATCH_BYTES or b == targets[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
+                ids, blobs, packed = [], [], 0
 
     docs, raws, size = [], [], 0
     for batch in slices(batches, 2048):
@@ -399,13 +404,13 @@ def _blocks(batches, buckets: int, hot: tuple = ()):
             for k in range(0, len(raw) - WINDOW + 1, PART_BYTES):  # parts of a very long text share no window start
                 part = raw[k : k + PART_BYTES + WINDOW - 1]
                 if size and size + len(part) > FLUSH_BYTES:
-                    yield flush(docs, raws)
+                    yield from flush(docs, raws)
                     docs, raws, size = [], [], 0
                 docs.append((d, m, k))
                 raws.append(part)
                 size += len(part)
     if docs:
-        yield flush(docs, raws)
+        yield from flush(docs, raws)
 
 
 def _spans_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
