@@ -48,7 +48,7 @@ from .pieces import runs
 
 WINDOW = 100
 GRAM = 24
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 FLUSH_BYTES = 6 << 20
 PART_BYTES = 1 << 20
 BATCH_BYTES = 2 << 20
@@ -428,6 +428,7 @@ def _spans_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
     offset = np.cumsum(more + WINDOW) - (more + WINDOW)
     spans = [(rank[np.concatenate([p[0][8].astype(np.int64) + b for p, b in zip(parts, base)])], *(np.concatenate([p[0][k] for p in parts]).astype(np.int64) for k in (9, 10)))]
     copies = np.concatenate([p[0][11] for p in parts]).astype(np.int64)
+    parts = None  # the unpacked blocks go before the tree is built
     # distinct pieces, each with its occurrences (those of one task being one with their number)
     by = np.lexsort((place, of, content, key))
     key, content, of, place, more, offset, copies = (x[by] for x in (key, content, of, place, more, offset, copies))
