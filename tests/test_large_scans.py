@@ -1,8 +1,11 @@
-"""What reaches the driver, and what it does there, stays small for long scans."""
+"""What reaches the driver, and what it does there, stays small for long scans; scans may have gaps."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from lattiq.model import CubeMeta
+from lattiq.operators import cube as C
 from lattiq.operators import phase
 from lattiq.operators import ptychography as pt
 
@@ -41,3 +44,31 @@ def test_sums_of_partitions_are_those_of_their_arrays(spark):
         for g, w in zip(got, whole):
             assert g.dtype == w.dtype and np.allclose(g, w * n * (n + 1) / 2, rtol=1e-12)
     assert all(not g.any() for g in phase.sum_arrays(spark.range(0), run, whole))
+
+
+def test_parallax_takes_scans_with_gaps(spark):
+    rng = np.random.default_rng(12)
+    base = np.pad(rng.random((14, 13)) + 0.2, 3)
+    nx, ny = base.shape
+    moves = {(0, 0): (0, 0), (0, 1): (1, 0), (1, 0): (0, -1), (1, 1): (-1, 2)}
+    stack = {q: np.roll(base, m, (0, 1)) for q, m in moves.items()}
+    cube = [(x, y, [float(stack[q][x, y]) for q in sorted(stack)]) for x in range(nx) for y in range(ny)]
+    gaps = [r for r in cube if r[:2] not in {(0, 3), (4, 4), (nx - 1, ny - 1), (nx - 1, ny - 2)}]  # the last line is short
+    twice = [*gaps, (2, 2, [v + 2.0 for v in gaps[2 * ny + 1][2]]), (7, 7, None)]
+    kind, meta = "rx long, ry long, data array<double>", CubeMeta(2, 2)
+    images = {(r["qx"], r["qy"]): r["image"] for r in phase.bright_field_images(spark.createDataFrame(twice, kind), C.circle(0.5, 0.5, 2), nx, ny, meta).collect()}
+    assert images.keys() == stack.keys()
+    for q, image in images.items():
+        want = stack[q].ravel().tolist()
+        for x, y in ((0, 3), (4, 4), (nx - 1, ny - 1), (nx - 1, ny - 2)):
+            want[x * ny + y] = None
+        want[2 * ny + 2] = (stack[q][2, 2] + cube[2 * ny + 1][2][sorted(stack).index(q)] + 2.0) / 2
+        assert [v is None for v in image] == [v is None for v in want]
+        assert np.allclose(np.array(image, float), np.array(want, float), equal_nan=True)
+    for rows in (cube, gaps):
+        frames = phase.bright_field_images(spark.createDataFrame(rows, kind), lambda x, y: F.lit(True), nx, ny, meta)
+        mean, shifts, _ = phase.parallax(frames, nx, ny, 3)
+        assert np.isfinite(mean).all()
+        d = shifts[["dx", "dy"]].to_numpy()
+        want = -np.array([moves[q] for q in zip(shifts.qx, shifts.qy)])
+        assert np.allclose(d - d[0], want - want[0], atol=0.15)
