@@ -59,14 +59,16 @@ def flowlines(hist: np.ndarray, least: float, spacing: float = 2.0, step: float
     A line follows the local angle both ways until the intensity falls under
     ``least``, it leaves the map, or it comes within ``spacing`` of an earlier
     line of like angle.  Each line depends on those before, so this runs on one
-    map at a time.
+    map at a time; points of earlier lines are kept by cell, so that a step
+    looks only at those near it.
     """
     nx, ny, nt = hist.shape
     size = math.pi / nt
     up, down = np.roll(hist, 1, axis=2), np.roll(hist, -1, axis=2)
     seeds = np.argwhere((hist >= up) & (hist > down) & (hist >= least))
     seeds = seeds[np.argsort(-hist[tuple(seeds.T)], kind="stable")]
-    taken: list[tuple[float, float, float]] = []
+    cell = spacing * (1 + 1e-9) if spacing > 0 else 1.0  # what is nearer than spacing lies in the same cell or beside it
+    taken: dict[tuple[int, int], list[tuple[float, float, float]]] = {}
     out: list[np.ndarray] = []
 
     def at(x: float, y: float, t: float) -> float:
@@ -74,7 +76,13 @@ def flowlines(hist: np.ndarray, least: float, spacing: float = 2.0, step: float
         return float(hist[i, j, k]) if 0 <= i < nx and 0 <= j < ny else -1.0
 
     def close(x: float, y: float, t: float) -> bool:
-        return any((x - a) ** 2 + (y - b) ** 2 < spacing**2 and abs((t - c + math.pi / 2) % math.pi - math.pi / 2) < 2 * size for a, b, c in taken)
+        i, j = math.floor(x / cell), math.floor(y / cell)
+        for k in (i, i - 1, i + 1):
+            for m in (j, j - 1, j + 1):
+                for a, b, c in taken.get((k, m), ()):
+                    if (x - a) ** 2 + (y - b) ** 2 < spacing**2 and abs((t - c + math.pi / 2) % math.pi - math.pi / 2) < 2 * size:
+                        return True
+        return False
 
     for sx, sy, st in seeds.tolist():
         x0, y0, t0 = float(sx), float(sy), st * size
@@ -94,7 +102,8 @@ def flowlines(hist: np.ndarray, least: float, spacing: float = 2.0, step: float
         line = halves[1][::-1] + [(x0, y0, t0)] + halves[0]
         if len(line) > 1:
             out.append(np.array(line))
-            taken += line
+            for p in line:
+                taken.setdefault((math.floor(p[0] / cell), math.floor(p[1] / cell)), []).append(p)
     return out
 
 

@@ -1,12 +1,15 @@
 """What reaches the driver, and what it does there, stays small for long scans; scans may have gaps."""
 
+import math
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from lattiq.model import CubeMeta
 from lattiq.operators import cube as C
-from lattiq.operators import phase
+from lattiq.operators import flowlines, phase
 from lattiq.operators import ptychography as pt
 
 
@@ -72,3 +75,54 @@ def test_parallax_takes_scans_with_gaps(spark):
         d = shifts[["dx", "dy"]].to_numpy()
         want = -np.array([moves[q] for q in zip(shifts.qx, shifts.qy)])
         assert np.allclose(d - d[0], want - want[0], atol=0.15)
+
+
+def plain_flowlines(hist, least, spacing, step, longest):
+    """As flowlines, with every step compared to all points of earlier lines."""
+    nx, ny, nt = hist.shape
+    size = math.pi / nt
+    seeds = np.argwhere((hist >= np.roll(hist, 1, axis=2)) & (hist > np.roll(hist, -1, axis=2)) & (hist >= least))
+    taken, out = np.empty((0, 3)), []
+
+    def at(x, y, t):
+        i, j, k = round(x), round(y), round(t / size) % nt
+        return hist[i, j, k] if 0 <= i < nx and 0 <= j < ny else -1.0
+
+    def close(x, y, t):
+        a, b, c = taken.T
+        return bool((((x - a) ** 2 + (y - b) ** 2 < spacing**2) & (np.abs((t - c + math.pi / 2) % math.pi - math.pi / 2) < 2 * size)).any())
+
+    for sx, sy, st in seeds[np.argsort(-hist[tuple(seeds.T)], kind="stable")].tolist():
+        if close(sx, sy, st * size):
+            continue
+        halves = []
+        for way in (1, -1):
+            x, y, t, line = float(sx), float(sy), st * size, []
+            while len(line) < longest:
+                x, y = x + way * step * math.cos(t), y + way * step * math.sin(t)
+                t = max((t, t - size, t + size), key=lambda a: at(x, y, a))
+                if at(x, y, t) < least or close(x, y, t):
+                    break
+                line.append((x, y, t))
+            halves.append(line)
+        if halves[0] or halves[1]:
+            out.append(np.array(halves[1][::-1] + [(sx, sy, st * size)] + halves[0]))
+            taken = np.concatenate([taken, out[-1]])
+    return out
+
+
+def test_flow_lines_equal_the_plain_search():
+    hist = np.random.default_rng(13).random((12, 9, 12))
+    for spacing, step in ((2.0, 0.5), (0.7, 0.3), (3.3, 1.0)):
+        got, want = flowlines.flowlines(hist, 0.5, spacing, step, 40), plain_flowlines(hist, 0.5, spacing, step, 40)
+        assert len(got) == len(want) > 10 and all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_flow_lines_of_a_long_map_take_time_in_proportion():
+    rng, took = np.random.default_rng(14), []
+    for n in (50, 1000):
+        hist = rng.random((10, n, 12))
+        began = time.process_time()
+        flowlines.flowlines(hist, 0.5)
+        took.append(time.process_time() - began)
+    assert took[1] < 80 * took[0]  # 20 times the map; comparing all points takes some 400 times
