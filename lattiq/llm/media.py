@@ -4,8 +4,8 @@ mu-law and A-law samples expand through 256-entry lookup tables built from their
 defining formulas.  IMA ADPCM is sequential inside a block, so decoding steps
 through the nibbles of a block once while numpy advances all blocks together.
 ``transcode`` gives the samples resampled as 16-bit PCM, which the query stores
-and reads back; it takes a quarter of the rate, as twice the rate would be several
-times the text.
+and reads back at twice the rate.  That is several times the text, so the query
+goes through the files in rounds and removes a round's PCM once it is digested.
 
 Defined results: a null or empty payload becomes one padded unit; a malformed
 container raises ValueError; equal payloads give equal files and features.
@@ -17,11 +17,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices
@@ -31,7 +32,9 @@ PAD = 255
 RATE = 8000
 BLOCK = 36  # bytes of an ADPCM block: 4 of header, 32 of nibbles
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
-STORED_RATE = (1, 4)  # of RATE: 16-bit PCM at 2 kHz
+STORED_RATE = (2, 1)  # of RATE: 16-bit PCM at 16 kHz
+ROUNDS = 4  # in which the PCM is stored, read back and removed
+NAMED = 8  # ``feature`` ends in a checksum of every eighth stored sample; pcm_crc32 is that of all
 CODECS = ("mulaw", "alaw", "ima_adpcm")
 # Fixed values of the IMA ADPCM standard: changes of the step index by the low three bits of a nibble.
 INDEX_CHANGE = (-1, -1, -1, -1, 2, 4, 6, 8)
@@ -161,7 +164,7 @@ def transcode(stored: DataFrame, rate_ratio: tuple[int, int] = (2, 1)) -> DataFr
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields if f.name != "media")
 
     def run(batches):
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, 2 << 20):  # PCM is up to 7.3 times as long
             cols: list[list] = [[], [], [], []]
             for media in batch.column("media").to_pylist():
                 codec, payload = unpack(media)
@@ -174,18 +177,57 @@ def transcode(stored: DataFrame, rate_ratio: tuple[int, int] = (2, 1)) -> DataFr
     return stored.mapInArrow(run, f"{kinds}, media binary, codec string, payload binary, feature string, pcm binary")
 
 
+def digest(pcm: DataFrame) -> DataFrame:
+    """In the place of pcm: pcm_samples and pcm_crc32 of all of it, and feature lengthened by count and checksum of every NAMED-th sample."""
+    names = [c for c in pcm.columns if c not in ("feature", "pcm")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pcm.schema.fields if f.name in names)
+
+    def run(batches):
+        for batch in slices(batches, 1024):
+            feature, count, crc = [], [], []
+            for text, v in zip(batch.column("feature").to_pylist(), batch.column("pcm")):
+                data = v.as_buffer()
+                samples = np.frombuffer(data, "<i2")
+                n = len(samples) // NAMED
+                feature.append(f"{text};pcm={n},{zlib.crc32(samples[::NAMED][:n].tobytes()):x}")
+                count.append(len(samples))
+                crc.append(zlib.crc32(data))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(feature, pa.string()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())], names=[*names, "feature", "pcm_samples", "pcm_crc32"])
+
+    return pcm.mapInArrow(run, f"{kinds}, feature string, pcm_samples long, pcm_crc32 long")
+
+
+@contextmanager
+def _wide_rows(spark: SparkSession):
+    """Few rows at once from Parquet, for what runs inside: a row of PCM may be very long."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def media_of_documents(docs: DataFrame) -> DataFrame:
-    """The contract's rows.
+    """The contract's rows, and pcm_samples and pcm_crc32.
 
-    The files are written to the shared folder and read back, and so is the PCM,
-    whose samples and checksum are part of ``feature``.
+    The files are written to the shared folder and read back, and so is the PCM of
+    every one, in ROUNDS rounds over the parts in which the files lie.
     """
-    space = Workspace(docs.sparkSession, "media")
+    spark = docs.sparkSession
+    space = Workspace(spark, "media")
     stored = space.write(encode(docs), "files")
-    out = transcode(stored, STORED_RATE).select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "pcm"
-    )
-    kept = space.write(out, "pcm")
+    parts = sorted(f"{space.paths['files']}/{p.rsplit('/', 1)[1]}" for p in stored.inputFiles())
+    rounds = min(ROUNDS, len(parts))
+    kept = []
+    for k in range(rounds):
+        files = spark.read.schema(stored.schema).parquet(*parts[k::rounds])
+        out = transcode(files, STORED_RATE).select(
+            "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "pcm"
+        )
+        with _wide_rows(spark):
+            kept.append(space.write(digest(space.write(out, f"pcm-{k}")), f"rows-{k}"))
+        space.drop(f"pcm-{k}")
     space.drop("files")
-    read = F.concat("feature", F.lit(";pcm="), (F.octet_length("pcm") / 2).cast("long").cast("string"), F.lit(","), F.lower(F.hex(F.crc32("pcm"))))
-    return kept.withColumn("feature", read).drop("pcm")
+    return spark.read.schema(kept[0].schema).parquet(*(space.paths[f"rows-{k}"] for k in range(rounds)))

@@ -651,6 +651,29 @@ def test_media_round_trip(docs, odd, empty):
         assert media.unpack(media.pack(b"\x01\x02" * 288, codec)) == (codec, b"\x01\x02" * 288)
 
 
+def test_media_stores_pcm_at_twice_the_rate(docs, odd, monkeypatch):
+    written, write = [], Workspace.write
+
+    def spy(self, df, name, *a, **b):
+        out = write(self, df, name, *a, **b)
+        if name.startswith("pcm"):
+            written.extend(bytes(r["pcm"]) for r in out.select("pcm").collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "write", spy)
+    for df in (docs.repartition(6), odd):
+        written.clear()
+        want = []
+        for r in rows(df):
+            p = media.payload_of(r["text"])[1]
+            pcm = media.decode(media.CODECS[zlib.crc32(p) % 3], p).astype(int)
+            after = np.append(pcm[1:], pcm[-1:])
+            want.append(np.stack([pcm, (pcm + after) // 2], axis=1).astype("<i2").tobytes())
+        out = rows(media.media_of_documents(df))
+        assert sorted(written) == sorted(want)
+        assert sorted((r["pcm_samples"], r["pcm_crc32"]) for r in out) == sorted((len(w) // 2, zlib.crc32(w)) for w in want)
+
+
 # ----- 9 embeddings
 
 
